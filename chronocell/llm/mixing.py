@@ -18,7 +18,7 @@ from .common import WORD, cut, session_of
 
 BITS, STEP = 48, 12
 #: The cut is placed exactly by one sort per source once no source's bin holds more rows than this.
-BIN_ROWS = 100_000
+BIN_ROWS = 10_000
 FILLS = 3
 
 

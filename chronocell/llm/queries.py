@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, secrets
+from . import fingerprints, language, licenses, mixing, neardup, secrets, toxicity
+from .kernels import remainder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train_toxicity(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -25,8 +39,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_spectrum_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
+    model = language.train_language(docs.where(~F.col("held_out")))
+    return language.predict_language(docs.select("doc_id", "held_out", "text"), model)
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings_per_document(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pareto_mix, op7_merkle_fingerprints, op8_license_scan, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_subsequence_toxicity, op3_pareto_mix, op5_setsketch_neardup, op7_merkle_fingerprints, op8_license_scan, op9_spectrum_language, op10_secret_ledger)}
