@@ -1,10 +1,48 @@
-"""A pipeline over documents; its stages are written and read again one by one."""
+"""A pipeline from documents to a mixed, clean corpus; its stages are written and read again one by one."""
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronocell.llm import decontam, language, linededup, mixing, neardup
+from chronocell.llm.kernels import remainder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without text, have no language and go; all others stay."""
+    model = language.train_language(docs.where(remainder(F.col("doc_id"), 4) != 2))
+    return language.predict_language(docs.select(*COLUMNS, F.col("text").alias("__text")).withColumnsRenamed({"text": "__own", "__text": "text"}), model).where("lang_pred <> 'und'").withColumnRenamed("__own", "text").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines that are alike across documents one stays; documents left without text go."""
+    return linededup.dedup_lines(docs.select(*COLUMNS)).where("trim(text) <> ''").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five words, 0.8)."""
+    return neardup.drop_near_duplicates(docs.select(*COLUMNS))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or one asked again with other slots, go."""
+    return decontam.drop_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix takes, with the number of copies and the words they bring."""
+    docs = docs.select(*COLUMNS)
+    return mixing.apply_mix(docs, mixing.pareto_mix(docs))
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
+
+#: Kernel models, sketches and Pareto order hashes are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
