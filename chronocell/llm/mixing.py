@@ -50,14 +50,14 @@ def source_targets(sources: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1
     return ranked.withColumn("target", F.least(limit * F.col("source_size"), F.col("weight") * F.lit(max(level, 0.0))))
 
 
-def pareto_mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, limit: float = 3.0, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, keep..., size, source_size, target, copies, taken) of every document.
+def pareto_mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, limit: float = 3.0, seed: int = 7) -> DataFrame:
+    """(doc_id, tie, size, source_size, target, copies, taken) of every document; tie is the text's hash.
 
     Inclusion odds grow with the square root of a document's size over its source's mean, times the odds of the
     source's fractional rate. The random odds come from a hash of doc_id, the text's hash and the seed: reruns agree.
     """
     u = (F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    base = cut(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size"), F.log(u / (1 - u)).alias("logit"), F.xxhash64("text").alias("tie")), "sizes")
+    base = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.log(u / (1 - u)).alias("logit"), F.xxhash64("text").alias("tie")), "sizes")
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = source_targets(sources, weights, share, limit)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -68,7 +68,7 @@ def pareto_mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, lim
     odds = 0.5 * F.log(F.greatest(F.col("size"), F.lit(1)) * F.col("n_docs") / F.greatest(F.col("source_size"), F.lit(1)))
     q = F.exp(F.least(F.greatest(F.col("logit") - odds - F.log(f / (1 - f)), F.lit(-600.0)), F.lit(600.0)))
     key = F.least(F.floor(q / (1 + q) * float(1 << BITS)), F.lit((1 << BITS) - 1)).cast("long")
-    ranked = cut(joined.select("doc_id", *keep, "size", "source_size", "target", "sid", "whole", "rest", key.alias("key"), "tie"), "ranked")
+    ranked = cut(joined.select("doc_id", "size", "source_size", "target", "sid", "whole", "rest", key.alias("key"), "tie"), "ranked")
 
     state = sources.select("sid", F.lit(0).cast("long").alias("prefix"), "rest")
     shift = BITS
@@ -94,4 +94,10 @@ def pareto_mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, lim
         edge = edge.withColumn("new", (fits & (F.col("after") <= F.col("rest"))).cast("long"))
         edge = edge.withColumn("rest", F.col("rest") - F.sum(F.col("new") * F.col("size")).over(whole_bin)).withColumn("extra", F.col("extra") + F.col("new")).drop("new", "after")
     out = clear.unionByName(edge).withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(int(limit))))
-    return out.select("doc_id", *keep, "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.col("whole")).alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return out.select("doc_id", "tie", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.col("whole")).alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, with size, copies and taken; rows alike in doc_id and text get the same."""
+    one = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__k"), F.col("tie").alias("__t")).agg(*[F.max(c).alias(c) for c in ("size", "copies", "taken")])
+    return docs.join(one, F.col("doc_id").eqNullSafe(F.col("__k")) & (F.xxhash64("text") == F.col("__t"))).drop("__k", "__t")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, licenses, mixing, neardup, secrets, toxicity
+from . import decontam, fingerprints, language, licenses, linededup, mixing, neardup, secrets, toxicity
 from .kernels import remainder
 
 
@@ -26,11 +26,19 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -49,4 +57,4 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings_per_document(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_subsequence_toxicity, op3_pareto_mix, op5_setsketch_neardup, op7_merkle_fingerprints, op8_license_scan, op9_spectrum_language, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_subsequence_toxicity, op3_pareto_mix, op4_fuzzy_lines, op5_setsketch_neardup, op6_template_decontamination, op7_merkle_fingerprints, op8_license_scan, op9_spectrum_language, op10_secret_ledger)}
