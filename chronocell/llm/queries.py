@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, language, licenses, linededup, mixing, neardup, secrets, toxicity
+from . import decontam, fingerprints, language, licenses, linededup, lmscore, mixing, neardup, secrets, toxicity
 from .kernels import remainder
 
 
@@ -21,6 +21,11 @@ def op1_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_bloom_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
+    return lmscore.score_texts(docs)
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -57,4 +62,4 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings_per_document(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_subsequence_toxicity, op3_pareto_mix, op4_fuzzy_lines, op5_setsketch_neardup, op6_template_decontamination, op7_merkle_fingerprints, op8_license_scan, op9_spectrum_language, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_subsequence_toxicity, op2_bloom_lm_score, op3_pareto_mix, op4_fuzzy_lines, op5_setsketch_neardup, op6_template_decontamination, op7_merkle_fingerprints, op8_license_scan, op9_spectrum_language, op10_secret_ledger)}
