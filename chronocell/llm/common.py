@@ -44,7 +44,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Texts may be long, so fewer rows go to Python at once than by default."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -63,7 +63,7 @@ def clear_of(df: DataFrame, *names: str) -> DataFrame:
 # ---- Arrow slices -------------------------------------------------------------------------------
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `limit` bytes of text each; a longer text stands alone."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths.astype(np.int64))

@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, session_of, slices, small_batches, span_hashes
+from .common import cut, mix64, session_of, slices, small_batches
 
 WINDOW, LEAST_LITERALS = 8, 5
 #: Items in one pass over the documents are at most about this many characters long together.
@@ -41,17 +42,16 @@ class Canon(dict):
     def __missing__(self, word: str):
         core = word.strip(OUTER)
         kind = 0
-        if NUMBER.fullmatch(core):
+        if core.isalpha():
+            kind = NAME if core[0].isupper() and core[1:].islower() else 0
+        elif NUMBER.fullmatch(core):
             kind = NUM
         elif (m := WITH_UNIT.fullmatch(core)) and m[2].lower() in UNITS:
             kind = NUM
-        elif core[:1].isupper() and core[1:].islower():
-            kind = NAME
         low = core.lower()
-        raw = np.frombuffer((low or word).encode("utf-8", "surrogatepass") + b" ", np.uint8)
-        value = int(span_hashes(raw, np.array([0]), np.array([len(raw) - 1]))[0])
+        value = int.from_bytes(blake2b((low or word).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         found = (value, kind, low, word[-1] in ".!?:;…\"»”", low in UNITS)
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found
         return found

@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash.
 
-Lines are compared without case of A-Z and outer spaces. Signatures over runs of SHINGLE characters are banded for high
+Lines are compared without case and outer spaces. Signatures over runs of SHINGLE characters are banded for high
 recall; candidates are verified by the exact Jaccard of their shingle sets and joined by distributed union-find. Of each
 component the line with the smallest (doc_id, place) stays.
 
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bytes_of, cut, mix64, session_of, slices, small_batches
-from .simjoin import linked_components, minhash_estimate, with_texts
+from .common import bytes_of, cut, mix64, session_of, slices, small_batches
+from .simjoin import linked_components, minhash_estimate
 
 SHINGLE, HASHES, BANDS, ROWS = 7, 64, 16, 4
 
@@ -51,13 +51,18 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line's place, with a signature at the first of equal lines in a slice."""
     for batch in batches:
-        for part in slices(batch, "norm", 1 << 20):
+        for part in slices(batch, "norm"):
             node = part.column("node").to_numpy(zero_copy_only=False)
             _, once = np.unique(node, return_index=True)
             data, offsets = bytes_of(part.column("norm").take(pa.array(once)))
             sketch, n = signatures(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(node[once]), pa.array(n, pa.int64()), pa.array([r.tobytes() for r in sketch], pa.binary())], ["node", "n", "sketch"])
+            places, rows = np.zeros(len(node), np.int64), [None] * len(node)
+            places[once] = n
+            for i, r in zip(once.tolist(), sketch):
+                rows[i] = r.tobytes()
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "tie", "place", "node")], pa.array(places), pa.array(rows, pa.binary())], ["doc_id", "tie", "place", "node", "n", "sketch"])
 
 
 def line_shingles(line: str) -> frozenset:
@@ -86,16 +91,13 @@ def doubled_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     spark = session_of(docs)
     small_batches(spark)
     lines = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.withColumn("norm", ascii_lower(F.trim("line"))).where("norm <> ''").select("doc_id", "tie", "place", "norm", F.xxhash64("norm").alias("node"))
-    sketches = cut(lines.select("node", "norm").mapInArrow(_signer, "node long, n long, sketch binary"), "signatures")
-    texts = lines.select("node", F.col("norm").alias("text"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return with_texts(pairs, texts).mapInArrow(_verifier(threshold), "a long, b long")
-
-    found = linked_components(sketches, BANDS, ROWS, HASHES, minhash_estimate(threshold, HASHES), verify)
+    lines = lines.withColumn("norm", F.lower(F.trim("line"))).where("norm <> ''").select("doc_id", "tie", "place", "norm", F.xxhash64("norm").alias("node"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketches = cut(lines.mapInArrow(_signer, f"doc_id {kind}, tie long, place int, node long, n long, sketch binary"), "signatures")
+    signed = sketches.where("sketch is not null").select("node", "n", "sketch")
+    found = linked_components(signed, lines.select("node", F.col("norm").alias("text")), BANDS, ROWS, HASHES, minhash_estimate(threshold, HASHES), _verifier(threshold))
     spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "place")
-    places = cut(lines.select("node", spot.alias("spot")), "places")
+    places = sketches.select("node", spot.alias("spot"))
     rooted = places.groupBy("node").agg(F.min("spot").alias("first"), F.count("*").alias("n")).join(found, "node", "left")
     best = rooted.withColumn("root", F.coalesce("root", "node")).groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("n")).where("n > 1")
     best = rooted.select("node", F.coalesce("root", "node").alias("root")).join(best, "root").select("node", "best")

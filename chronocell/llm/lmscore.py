@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, mix64, session_of, small_batches, span_hashes
 
-CHUNK_BYTES, SHARD_ENTRIES, BROADCAST_BYTES = 8_000_000, 1_000_000, 256_000_000
+CHUNK_BYTES, SHARD_ENTRIES, BROADCAST_BYTES = 4_000_000, 1_000_000, 256_000_000
 PROBES, BITS_PER_ENTRY, WEIGHT, LEVELS = 4, 8, 0.2, 64
 END = b"\n"
 CHUNK = "chunk long, ids binary, held binary, texts binary, bytes long"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, lower_bytes, mix64, session_of, shingles_of, slices, small_batches, span_hashes, words_of
-from .simjoin import linked_components, setsketch_estimate, with_texts
+from .simjoin import linked_components, setsketch_estimate
 
 REGISTERS, BANDS, ROWS, BASE = 128, 32, 4, 1.02
 
@@ -110,10 +110,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     held = classes.select("node", F.col("doc_id").alias("k"), F.col("tie").alias("t"))
     own_text = texts.withColumn("doc_id", F.col("doc_id").cast("long")).join(held, F.col("tie").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("k"))).select("node", "text")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return with_texts(pairs, own_text).mapInArrow(_verifier(k, percent), "a long, b long")
-
-    found = linked_components(classes.select("node", "n", "sketch"), BANDS, ROWS, REGISTERS, setsketch_estimate(percent / 100, BASE), verify)
+    found = linked_components(classes.select("node", "n", "sketch"), own_text, BANDS, ROWS, REGISTERS, setsketch_estimate(percent / 100, BASE), _verifier(k, percent))
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.select("node", "root").join(ids, "root").select("node", "component_id")

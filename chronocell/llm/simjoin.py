@@ -244,11 +244,19 @@ def _round_two(keep: Callable, bands: int, rows_: int):
     return run
 
 
-def linked_components(nodes: DataFrame, bands: int, rows: int, width: int, keep: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of every node with a verified link. verify: (a, b) pairs -> the pairs that are links."""
+def linked_components(nodes: DataFrame, texts: DataFrame, bands: int, rows: int, width: int, keep: Callable, verifier: Callable) -> DataFrame:
+    """(node, root) of every node with a verified link.
+
+    texts: (node, text), repeats allowed; verifier: Arrow batches of (a, b, text_a, text_b) -> the (a, b) that are links.
+    """
     spark = session_of(nodes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = shared_buckets(nodes, bands, rows, width)
+    held = cut(texts.join(buckets.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return with_texts(pairs, held).mapInArrow(verifier, "a long, b long")
+
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     placed = buckets.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     group = F.xxhash64("bucket", "own").alias("group")
@@ -271,9 +279,7 @@ def linked_components(nodes: DataFrame, bands: int, rows: int, width: int, keep:
     return components(stars.unionByName(more.select("a", "b")))
 
 
-def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def with_texts(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """(a, b) pairs and (node, text), one row per node -> (a, b, text_a, text_b)."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = cut(texts.join(wanted, "node").dropDuplicates(["node"]), "texts")
     left = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return left.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
