@@ -16,65 +16,78 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, session_of, slices, small_batches
+from .common import bytes_of, cut, lower_bytes, mix64, session_of, slices, small_batches, span_hashes, words_of
 
 WINDOW, LEAST_LITERALS = 8, 5
 #: Items in one pass over the documents are at most about this many characters long together.
 BLOCK_CHARS = 32_000_000
 #: Units.
-UNITS = frozenset("km m cm mm kg g mg l ml s ms min h hz khz mhz ghz kb mb gb tb usd eur gbp kwh kw w v a c f mph kmh percent".split())
-NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*%?")
-WITH_UNIT = re.compile(r"([+-]?\d+(?:[.,]\d+)*)([a-zA-Z]{1,4})")
-OUTER = "\"'.,;:!?()[]{}<>*_`~«»“”‘’"
+UNITS = frozenset(b"km m cm mm kg g mg l ml s ms min h hz khz mhz ghz kb mb gb tb usd eur gbp kwh kw w v a c f mph kmh percent".split())
+WITH_UNIT = re.compile(rb"[+-]?[0-9]+(?:[.,][0-9]+)*([a-z]{1,7})")
 NUM, NAME, UNIT = 1, 2, 3
+_TYPED = mix64(np.arange(0xC0FFEE, 0xC0FFEE + 4, dtype=np.uint64))
 
 
-class Canon(dict):
-    """word -> (literal hash, kind, canonical text, ends a sentence, is a unit); words are kept while there are not too many."""
-
-    def __missing__(self, word: str):
-        core = word.strip(OUTER)
-        kind = 0
-        if core.isalpha():
-            kind = NAME if core[0].isupper() and core[1:].islower() else 0
-        elif NUMBER.fullmatch(core):
-            kind = NUM
-        elif (m := WITH_UNIT.fullmatch(core)) and m[2].lower() in UNITS:
-            kind = NUM
-        low = core.lower()
-        value = int.from_bytes(blake2b((low or word).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        found = (value, kind, low, word[-1] in ".!?:;…\"»”", low in UNITS)
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = found
-        return found
-
-
-_CANON = Canon()
-_TYPED = mix64(np.arange(0xC0FFEE, 0xC0FFEE + 4, dtype=np.uint64))
+def _table(members: bytes) -> np.ndarray:
+    out = np.zeros(257, bool)
+    out[list(members)] = True
+    return out
+
+
+_OUTER, _SENTENCE = _table(b"\"'.,;:!?()[]{}<>*_`~$&#@%^=|/\\+-"), _table(b".!?:;\"\n")
+_DIGIT, _BIG = _table(b"0123456789"), _table(bytes(range(65, 91)))
+_WORDY = _table(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 
 
-def canonical(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes of the canonical words, their kinds (0: literal) and the values behind them."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
-    found = [_CANON[w] for w in words]
-    value, kind, low, ends, unit = zip(*found)
-    h, kind = np.array(value, np.uint64), np.array(kind, np.int8)
-    after = np.concatenate(([True], np.array(ends[:-1], bool)))
-    kind[(kind == NAME) & after] = 0  # the first word of a sentence is no name
-    kind[1:][(kind[:-1] == NUM) & np.array(unit[1:], bool)] = UNIT
-    typed = kind > 0
-    h[typed] = _TYPED[kind[typed]]
-    return h, kind, list(low)
+class Canon:
+    """The words of some texts: hashes of their canonical forms, kinds (0: literal), spans of bytes, each text's first word.
+
+    Case is lost for A-Z and the Latin-1 letters. A name is a capital followed by small letters, not at the start of a
+    sentence; a number has digits and no letters; a unit is a known word after a number, or the letters behind one.
+    """
+
+    def __init__(self, texts: pa.Array):
+        data, offsets = bytes_of(texts)
+        accented = np.zeros(len(data), bool)  # the second byte of a Latin-1 capital
+        accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        self.data = lower_bytes(data)
+        self.data[accented] += 0x20
+        starts, ends, self.first = words_of(data, offsets)
+        last = _SENTENCE[data[ends - 1]]
+        while len(move := np.flatnonzero((starts < ends) & _OUTER[data[np.minimum(starts, len(data) - 1)]])):
+            starts[move] += 1
+        while len(move := np.flatnonzero((starts < ends) & _OUTER[data[ends - 1]])):
+            ends[move] -= 1
+        self.starts, self.ends = starts, ends
+        self.h = span_hashes(self.data, starts, ends)
+        count = lambda mask: (lambda c: c[ends] - c[starts])(np.concatenate(([0], np.cumsum(mask, dtype=np.int32))))
+        big, letter, digit = count(_BIG[data] | accented), count(_WORDY[data]), count(_DIGIT[data])
+        at = np.minimum(starts, len(data) - 1)
+        capital = _BIG[data[at]] | accented[np.minimum(at + 1, len(data) - 1)]
+        first = np.zeros(len(starts), bool)
+        first[self.first[:-1][self.first[:-1] < len(starts)]] = True
+        first[1:] |= last[:-1]
+        size = ends - starts
+        self.kind = np.zeros(len(starts), np.int8)
+        self.kind[capital & (big == 1) & (letter == size) & (size > 1 + accented[np.minimum(at + 1, len(data) - 1)]) & ~first] = NAME
+        self.kind[(digit > 0) & (letter == 0)] = NUM
+        for i in np.flatnonzero((digit > 0) & (letter > 0) & (size <= 16)):
+            if (m := WITH_UNIT.fullmatch(self.word(i))) and m[1] in UNITS:
+                self.kind[i] = NUM
+        for i in np.flatnonzero(self.kind[:-1] == NUM) + 1:
+            if self.word(i) in UNITS:
+                self.kind[i] = UNIT
+        typed = self.kind > 0
+        self.h[typed] = _TYPED[self.kind[typed]]
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
 def windows(h: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,41 +108,49 @@ class Benchmark:
     """Sorted window hashes of some items, by window size."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.words: list[tuple[int, list[str], np.ndarray, int]] = []
+        self.words: list[tuple[int, list[bytes], np.ndarray, int]] = []
         by: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for item_id, text in items:
-            h, kind, low = canonical(text or "")
+        c = Canon(pa.array([t for _, t in items], pa.string()))
+        for (item_id, _), a, b in zip(items, c.first[:-1], c.first[1:]):
+            h, kind = c.h[a:b], c.kind[a:b]
             size = min(WINDOW, len(h))
-            got, at = windows(h, kind, size) if size else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            if size and (size == WINDOW or size >= LEAST_LITERALS) and len(got):
+            got, at = windows(h, kind, size) if size >= LEAST_LITERALS else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if len(got):
                 by.setdefault(size, []).append((got, np.full(len(got), len(self.words)), at))
-                self.words.append((item_id, low, kind, len(got)))
+                self.words.append((item_id, [c.word(i) for i in range(a, b)], kind, len(got)))
         self.tables = {}
         for size, parts in by.items():
             h, item, at = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(h, kind="stable")
             self.tables[size] = (h[order], item[order], at[order])
 
-    def matches(self, text: str) -> Iterator[tuple[int, int, int, bool, bool]]:
-        """(item_id, matched windows, the item's windows, consistent slots, exact slots), the best diagonal of each item."""
-        h, kind, low = canonical(text)
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool, bool]]:
+        """(text, item_id, matched windows, the item's windows, consistent slots, exact slots) by the best diagonal."""
+        c = Canon(texts)
+        hits: dict[int, dict[tuple[int, int], list[tuple[int, int]]]] = {}
         for size, (table, item, at) in self.tables.items():
-            got, place = windows(h, kind, size)
+            got, place = windows(c.h, c.kind, size)
             left = np.searchsorted(table, got, side="left")
-            found = np.flatnonzero(table[np.minimum(left, len(table) - 1)] == got) if len(table) else []
-            for i in found:
+            found = np.flatnonzero(table[np.minimum(left, len(table) - 1)] == got)
+            text = np.searchsorted(c.first, place[found], side="right") - 1
+            for i, t in zip(found.tolist(), text.tolist()):
+                if place[i] + size > c.first[t + 1]:
+                    continue  # the window goes beyond the text's end
                 for j in range(left[i], np.searchsorted(table, got[i], side="right")):
-                    hits.setdefault((int(item[j]), int(place[i] - at[j])), []).append((int(at[j]), size))
+                    hits.setdefault(t, {}).setdefault((int(item[j]), int(place[i] - at[j])), []).append((int(at[j]), size))
+        for t, diagonals in hits.items():
+            yield from ((t, *x) for x in self._best(diagonals, c))
+
+    def _best(self, hits: dict, c: Canon) -> Iterator[tuple[int, int, int, bool, bool]]:
         best: dict[int, tuple] = {}
         for (item, shift), spots in hits.items():
             item_id, words, kinds, total = self.words[item]
             covered = sorted({p + k for p, size in spots for k in range(size)})
-            to: dict[tuple[int, str], str] = {}
+            to: dict[tuple[int, bytes], bytes] = {}
             consistent = exact = True
             for p in covered:
                 if kinds[p]:
-                    value = low[p + shift]
+                    value = c.word(p + shift)
                     consistent &= to.setdefault((int(kinds[p]), words[p]), value) == value
                     exact &= words[p] == value
             now = (consistent, len({p for p, _ in spots}), exact)
@@ -161,7 +182,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, blo
             names = ["doc_id", "tie", "item_id", "windows", "item_windows", "consistent", "exact"]
             for batch in batches:
                 for few in slices(batch, "text"):
-                    rows = [(d, t, *m) for d, t, x in zip(few.column("doc_id").to_pylist(), few.column("tie").to_pylist(), few.column("text").to_pylist()) for m in shared.value.matches(x)]
+                    ids, ties = few.column("doc_id").to_pylist(), few.column("tie").to_pylist()
+                    rows = [(ids[t], ties[t], *m) for t, *m in shared.value.matches(few.column("text"))]
                     if rows:
                         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
