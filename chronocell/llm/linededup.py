@@ -22,6 +22,8 @@ from .common import bytes_of, cut, mix64, session_of, slices, small_batches
 from .simjoin import linked_components, minhash_estimate
 
 SHINGLE, HASHES, BANDS, ROWS = 7, 64, 16, 4
+#: Shingle places hashed at a time, so that the buffers stay in a core's cache.
+BLOCK = 1 << 14
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -29,30 +31,52 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
     return x[:HASHES], x[HASHES:]
 
 
+_SEEDS = _seeds()
+
+
 def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lines, HASHES) 16-bit minima and the number of shingle places, for lines that each end with one newline byte."""
     lengths = np.diff(offsets) - 1
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(data), np.uint64)
-        padded = np.concatenate((data, np.zeros(SHINGLE, np.uint8))).astype(np.uint64)
-        for i in range(SHINGLE):
-            h = h * np.uint64(0x100000001B3) + padded[i : i + len(data)] + np.uint64(1)
-    h = mix64(h)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    h = mix64(np.ndarray(len(data), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * SHINGLE) - 1))
     n = np.maximum(1, lengths - SHINGLE + 1)
-    h = h[place < np.repeat(n, np.diff(offsets))]
     starts = np.cumsum(n) - n
+    h = h[np.arange(n.sum()) + np.repeat(offsets[:-1] - starts, n)]
     low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
-    out = np.zeros((len(n), HASHES), np.uint16)
-    with np.errstate(over="ignore"):
-        for i, (a, b) in enumerate(zip(*_seeds())):
-            out[:, i] = np.minimum.reduceat(low * a ^ high * b, starts) % np.uint32(65521)
-    return out, n
+    pieces = np.union1d(starts, np.arange(0, len(h), BLOCK))
+    least = np.empty((HASHES, len(pieces)), np.uint32)
+    one, two = np.empty(BLOCK, np.uint32), np.empty(BLOCK, np.uint32)
+    for at in range(0, len(h), BLOCK):
+        x, y = low[at : at + BLOCK], high[at : at + BLOCK]
+        p, q = one[: len(x)], two[: len(x)]
+        first, last = np.searchsorted(pieces, (at, at + BLOCK))
+        inner = pieces[first:last] - at
+        for i, (a, b) in enumerate(zip(*_SEEDS)):
+            np.multiply(x, a, out=p)
+            np.multiply(y, b, out=q)
+            np.bitwise_xor(p, q, out=p)
+            np.minimum.reduceat(p, inner, out=least[i, first:last])
+    if len(pieces) > len(starts):
+        least = np.minimum.reduceat(least, np.searchsorted(pieces, starts), axis=1)
+    return np.ascontiguousarray((least % np.uint32(65521)).astype(np.uint16).T), n
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about `limit` bytes of the column."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line's place, with a signature at the first of equal lines in a slice."""
-    for batch in batches:
+    for batch in _gathered(batches, "norm"):
         for part in slices(batch, "norm"):
             node = part.column("node").to_numpy(zero_copy_only=False)
             _, once = np.unique(node, return_index=True)
