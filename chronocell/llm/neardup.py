@@ -2,7 +2,7 @@
 
 A register is floor(1 - log_base(m)) for the minimum m of exponential hashes of a document's shingles: truncated,
 exponentially spaced and mergeable by taking the greater value. Bands of registers propose pairs, the joint likelihood
-of the registers thins them, and full shingle sets decide.
+of the registers and a parity sketch of the set thin them, and full shingle sets decide.
 
 Defined cases: a text of fewer words than a shingle has the whole sequence as its one shingle; a null or empty text has
 none and is linked with nothing; copies count once as a node and share their class; rows that repeat get the same
@@ -23,6 +23,8 @@ from .common import bytes_of, cut, lower_bytes, mix64, session_of, shingles_of,
 from .simjoin import linked_components, setsketch_estimate
 
 REGISTERS, BANDS, ROWS, BASE = 128, 32, 4, 1.02
+#: Bits of a set's parity sketch (a power of two): each tells whether an odd number of shingle hashes fell on it.
+PARITY_BITS = 2048
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +48,14 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
+def parities_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(sets, PARITY_BITS / 16) 16-bit words for distinct shingle hashes, the sets beginning at `starts`."""
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+    bit = (h >> np.uint64(20)).astype(np.int64) & (PARITY_BITS - 1)
+    odd = np.bincount(owner * PARITY_BITS + bit, minlength=len(starts) * PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(len(starts), PARITY_BITS), axis=1).view(np.uint16)
+
+
 def _sketcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +76,8 @@ def _sketcher(k: int):
                     with np.errstate(over="ignore"):
                         f1[has] = mix64(np.add.reduceat(h, begin))
                         f2[has] = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), begin)
-                    for i, r in zip(has.tolist(), registers_of(h, begin)):
+                    both = np.concatenate((registers_of(h, begin), parities_of(h, begin)), axis=1)
+                    for i, r in zip(has.tolist(), both):
                         sketch[i] = r.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "tie", "n", "node", "check", "sketch"])
 
@@ -110,7 +121,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     held = classes.select("node", F.col("doc_id").alias("k"), F.col("tie").alias("t"))
     own_text = texts.withColumn("doc_id", F.col("doc_id").cast("long")).join(held, F.col("tie").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("k"))).select("node", "text")
 
-    found = linked_components(classes.select("node", "n", "sketch"), own_text, BANDS, ROWS, REGISTERS, setsketch_estimate(percent / 100, BASE), _verifier(k, percent))
+    found = linked_components(classes.select("node", "n", "sketch"), own_text, BANDS, ROWS, REGISTERS + PARITY_BITS // 16, setsketch_estimate(percent / 100, BASE, REGISTERS), _verifier(k, percent))
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.select("node", "root").join(ids, "root").select("node", "component_id")

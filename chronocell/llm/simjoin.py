@@ -108,11 +108,12 @@ def minhash_estimate(threshold: float, width: int) -> Callable:
     return keep
 
 
-def setsketch_estimate(threshold: float, base: float, slack: float = 10.0) -> Callable:
+def setsketch_estimate(threshold: float, base: float, width: int, slack: float = 10.0) -> Callable:
     """Keeps pairs by the joint likelihood of the counts of greater, smaller and equal registers, given both set sizes.
 
     A pair goes on unless every similarity of at least the threshold is less likely than the best one by `slack` in
-    natural log.
+    natural log. The words after the first `width` are parity bits of the sets: bits that differ are never more than the
+    elements that do, so a pair with more of them than the threshold allows is ruled out for certain.
     """
     part = (base - 1) / base
     p = lambda x: np.clip(-np.log1p(-np.clip(x, 0, 1) * part) / np.log(base), 1e-9, 1 - 1e-9)
@@ -122,9 +123,12 @@ def setsketch_estimate(threshold: float, base: float, slack: float = 10.0) -> Ca
         return more * np.log(a) + less * np.log(b) + same * np.log(np.clip(1 - a - b, 1e-9, 1))
 
     def keep(a, b, na, nb):
+        odd = np.bitwise_count(a[:, width:] ^ b[:, width:]).sum(axis=1)
+        a, b = a[:, :width], b[:, :width]
         more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
-        same = a.shape[1] - more - less
+        same = width - more - less
         ok = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
+        ok &= odd <= (na + nb) * (1 - threshold) / (1 + threshold) + 1e-9
         at = np.flatnonzero(ok)
         if len(at):
             u = na[at] / (na[at] + nb[at])

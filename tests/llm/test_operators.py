@@ -193,3 +193,20 @@ def test_crc_remainder(spark):
 
     found = spark.range(50).select("id", remainder(F.col("id"), 7).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 7 for r in found)
+
+
+def test_parity_bits_never_overstate_a_difference():
+    import numpy as np
+
+    from chronocell.llm.neardup import parities_of
+
+    rng = np.random.default_rng(3)
+    for size in (1, 40, 3000):
+        pool = rng.integers(0, 2**64, 2 * size, dtype=np.uint64)
+        for share in (0, size // 3, size):
+            a, b = np.unique(pool[:size]), np.unique(pool[share : share + size])
+            x, y = parities_of(np.concatenate((a, b)), np.array([0, len(a)]))
+            differing = len(np.setxor1d(a, b))
+            assert np.bitwise_count(x ^ y).sum() <= differing
+            if differing <= 100:
+                assert np.bitwise_count(x ^ y).sum() >= 0.8 * differing
