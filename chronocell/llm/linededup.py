@@ -119,7 +119,7 @@ def doubled_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = cut(lines.mapInArrow(_signer, f"doc_id {kind}, tie long, place int, node long, n long, sketch binary"), "signatures")
     signed = sketches.where("sketch is not null").select("node", "n", "sketch")
-    found = linked_components(signed, lines.select("node", F.col("norm").alias("text")), BANDS, ROWS, HASHES, minhash_estimate(threshold, HASHES), _verifier(threshold))
+    found = linked_components(signed, lambda needed: lines.select("node", F.col("norm").alias("text")).join(needed, "node"), BANDS, ROWS, HASHES, minhash_estimate(threshold, HASHES), _verifier(threshold))
     spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "place")
     places = sketches.select("node", spot.alias("spot"))
     rooted = places.groupBy("node").agg(F.min("spot").alias("first"), F.count("*").alias("n")).join(found, "node", "left")

@@ -119,9 +119,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = rows.where("n > 0").groupBy("node", "check", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("at"), F.first("sketch").alias("sketch"))
     classes = cut(classes.select("node", "n", "at.doc_id", "at.tie", "sketch"), "classes")
     held = classes.select("node", F.col("doc_id").alias("k"), F.col("tie").alias("t"))
-    own_text = texts.withColumn("doc_id", F.col("doc_id").cast("long")).join(held, F.col("tie").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("k"))).select("node", "text")
 
-    found = linked_components(classes.select("node", "n", "sketch"), own_text, BANDS, ROWS, REGISTERS + PARITY_BITS // 16, setsketch_estimate(percent / 100, BASE, REGISTERS), _verifier(k, percent))
+    def own_texts(needed: DataFrame) -> DataFrame:
+        wanted = cut(held.join(needed, "node"), "wanted")  # so that its size is known before the texts are dealt
+        own = texts.withColumn("doc_id", F.col("doc_id").cast("long"))
+        return own.join(wanted, F.col("tie").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("k"))).select("node", "text")
+
+    found = linked_components(classes.select("node", "n", "sketch"), own_texts, BANDS, ROWS, REGISTERS + PARITY_BITS // 16, setsketch_estimate(percent / 100, BASE, REGISTERS), _verifier(k, percent))
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.select("node", "root").join(ids, "root").select("node", "component_id")

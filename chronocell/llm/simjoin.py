@@ -248,15 +248,16 @@ def _round_two(keep: Callable, bands: int, rows_: int):
     return run
 
 
-def linked_components(nodes: DataFrame, texts: DataFrame, bands: int, rows: int, width: int, keep: Callable, verifier: Callable) -> DataFrame:
+def linked_components(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], bands: int, rows: int, width: int, keep: Callable, verifier: Callable) -> DataFrame:
     """(node, root) of every node with a verified link.
 
-    texts: (node, text), repeats allowed; verifier: Arrow batches of (a, b, text_a, text_b) -> the (a, b) that are links.
+    texts: a table of nodes -> their (node, text), repeats allowed; verifier: Arrow batches of (a, b, text_a, text_b) -> the (a, b) that are links.
     """
     spark = session_of(nodes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = shared_buckets(nodes, bands, rows, width)
-    held = cut(texts.join(buckets.select("node").distinct(), "node").dropDuplicates(["node"]), "texts")
+    needed = cut(buckets.select("node").distinct(), "needed")
+    held = cut(texts(needed).dropDuplicates(["node"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return with_texts(pairs, held).mapInArrow(verifier, "a long, b long")
