@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, mix64, session_of, slices, small_batches
-from .simjoin import linked_components, minhash_estimate
+from .simjoin import linked_components, minhash_estimate, parities_of
 
 SHINGLE, HASHES, BANDS, ROWS = 7, 64, 16, 4
 #: Shingle places hashed at a time, so that the buffers stay in a core's cache.
 BLOCK = 1 << 14
+#: Bits of a line's parity sketch, and of the hashes that tell its distinct shingles apart beside a line's number.
+PARITY_BITS, DISTINCT_BITS = 512, 44
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +37,10 @@ _SEEDS = _seeds()
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, HASHES) 16-bit minima and the number of shingle places, for lines that each end with one newline byte."""
+    """(lines, HASHES + PARITY_BITS / 16) 16-bit minima and parity words, and the number of distinct shingles.
+
+    Each line ends with one newline byte.
+    """
     lengths = np.diff(offsets) - 1
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     h = mix64(np.ndarray(len(data), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * SHINGLE) - 1))
@@ -58,7 +63,12 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
             np.minimum.reduceat(p, inner, out=least[i, first:last])
     if len(pieces) > len(starts):
         least = np.minimum.reduceat(least, np.searchsorted(pieces, starts), axis=1)
-    return np.ascontiguousarray((least % np.uint32(65521)).astype(np.uint16).T), n
+    shift = np.uint64(DISTINCT_BITS)
+    distinct = np.sort((np.repeat(np.arange(len(n), dtype=np.uint64), n) << shift) | (h >> np.uint64(64 - DISTINCT_BITS)))
+    distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))] if len(distinct) else distinct
+    count = np.bincount((distinct >> shift).astype(np.int64), minlength=len(n))
+    parity = parities_of(distinct, np.cumsum(count) - count, PARITY_BITS)
+    return np.concatenate(((least % np.uint32(65521)).astype(np.uint16).T, parity), axis=1), count
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
@@ -119,7 +129,7 @@ def doubled_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = cut(lines.mapInArrow(_signer, f"doc_id {kind}, tie long, place int, node long, n long, sketch binary"), "signatures")
     signed = sketches.where("sketch is not null").select("node", "n", "sketch")
-    found = linked_components(signed, lambda needed: lines.select("node", F.col("norm").alias("text")).join(needed, "node"), BANDS, ROWS, HASHES, minhash_estimate(threshold, HASHES), _verifier(threshold))
+    found = linked_components(signed, lambda needed: lines.select("node", F.col("norm").alias("text")).join(needed, "node"), BANDS, ROWS, HASHES + PARITY_BITS // 16, minhash_estimate(threshold, HASHES), _verifier(threshold))
     spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "place")
     places = sketches.select("node", spot.alias("spot"))
     rooted = places.groupBy("node").agg(F.min("spot").alias("first"), F.count("*").alias("n")).join(found, "node", "left")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, lower_bytes, mix64, session_of, shingles_of, slices, small_batches, span_hashes, words_of
-from .simjoin import linked_components, setsketch_estimate
+from .simjoin import linked_components, parities_of, setsketch_estimate
 
 REGISTERS, BANDS, ROWS, BASE = 128, 32, 4, 1.02
 #: Bits of a set's parity sketch (a power of two): each tells whether an odd number of shingle hashes fell on it.
@@ -48,14 +48,6 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def parities_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(sets, PARITY_BITS / 16) 16-bit words for distinct shingle hashes, the sets beginning at `starts`."""
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
-    bit = (h >> np.uint64(20)).astype(np.int64) & (PARITY_BITS - 1)
-    odd = np.bincount(owner * PARITY_BITS + bit, minlength=len(starts) * PARITY_BITS) & 1
-    return np.packbits(odd.astype(bool).reshape(len(starts), PARITY_BITS), axis=1).view(np.uint16)
-
-
 def _sketcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,7 +68,7 @@ def _sketcher(k: int):
                     with np.errstate(over="ignore"):
                         f1[has] = mix64(np.add.reduceat(h, begin))
                         f2[has] = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), begin)
-                    both = np.concatenate((registers_of(h, begin), parities_of(h, begin)), axis=1)
+                    both = np.concatenate((registers_of(h, begin), parities_of(h, begin, PARITY_BITS)), axis=1)
                     for i, r in zip(has.tolist(), both):
                         sketch[i] = r.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "tie", "n", "node", "check", "sketch"])

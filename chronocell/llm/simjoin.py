@@ -97,13 +97,32 @@ def _per_group(f):
 # ---- estimates ----------------------------------------------------------------------------------
 
 
+def parities_of(h: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+    """(sets, bits / 16) 16-bit words for distinct hashes, the sets beginning at `starts`; bits is a power of two.
+
+    Each bit tells whether an odd number of a set's hashes fell on it.
+    """
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+    bit = (h >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    odd = np.bincount(owner * bits + bit, minlength=len(starts) * bits) & 1
+    return np.packbits(odd.astype(bool).reshape(len(starts), bits), axis=1).view(np.uint16)
+
+
+def parity_allows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """False only where the sets can't reach the threshold: bits that differ are never more than the elements that do."""
+    return np.bitwise_count(a ^ b).sum(axis=1) <= (na + nb) * (1 - threshold) / (1 + threshold) + 1e-9
+
+
 def minhash_estimate(threshold: float, width: int) -> Callable:
-    """Keeps pairs whose share of equal registers is within 4.5 standard errors of the threshold or above."""
+    """Keeps pairs whose share of equal registers is within 4.5 standard errors of the threshold or above.
+
+    The words after the first `width` are parity bits of the sets.
+    """
     least = width * threshold - 4.5 * np.sqrt(width * threshold * (1 - threshold))
 
     def keep(a, b, na, nb):
-        equal = (a == b).sum(axis=1)
-        return (equal >= least) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9), equal
+        equal = (a[:, :width] == b[:, :width]).sum(axis=1)
+        return (equal >= least) & parity_allows(a[:, width:], b[:, width:], na, nb, threshold) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9), equal
 
     return keep
 
@@ -112,8 +131,7 @@ def setsketch_estimate(threshold: float, base: float, width: int, slack: float =
     """Keeps pairs by the joint likelihood of the counts of greater, smaller and equal registers, given both set sizes.
 
     A pair goes on unless every similarity of at least the threshold is less likely than the best one by `slack` in
-    natural log. The words after the first `width` are parity bits of the sets: bits that differ are never more than the
-    elements that do, so a pair with more of them than the threshold allows is ruled out for certain.
+    natural log. The words after the first `width` are parity bits of the sets.
     """
     part = (base - 1) / base
     p = lambda x: np.clip(-np.log1p(-np.clip(x, 0, 1) * part) / np.log(base), 1e-9, 1 - 1e-9)
@@ -123,12 +141,12 @@ def setsketch_estimate(threshold: float, base: float, width: int, slack: float =
         return more * np.log(a) + less * np.log(b) + same * np.log(np.clip(1 - a - b, 1e-9, 1))
 
     def keep(a, b, na, nb):
-        odd = np.bitwise_count(a[:, width:] ^ b[:, width:]).sum(axis=1)
+        possible = parity_allows(a[:, width:], b[:, width:], na, nb, threshold)
         a, b = a[:, :width], b[:, :width]
         more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
         same = width - more - less
         ok = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
-        ok &= odd <= (na + nb) * (1 - threshold) / (1 + threshold) + 1e-9
+        ok &= possible
         at = np.flatnonzero(ok)
         if len(at):
             u = na[at] / (na[at] + nb[at])

@@ -198,15 +198,31 @@ def test_crc_remainder(spark):
 def test_parity_bits_never_overstate_a_difference():
     import numpy as np
 
-    from chronocell.llm.neardup import parities_of
+    from chronocell.llm.simjoin import parities_of
 
     rng = np.random.default_rng(3)
     for size in (1, 40, 3000):
         pool = rng.integers(0, 2**64, 2 * size, dtype=np.uint64)
         for share in (0, size // 3, size):
             a, b = np.unique(pool[:size]), np.unique(pool[share : share + size])
-            x, y = parities_of(np.concatenate((a, b)), np.array([0, len(a)]))
+            x, y = parities_of(np.concatenate((a, b)), np.array([0, len(a)]), 2048)
             differing = len(np.setxor1d(a, b))
             assert np.bitwise_count(x ^ y).sum() <= differing
             if differing <= 100:
                 assert np.bitwise_count(x ^ y).sum() >= 0.8 * differing
+
+
+def test_lines_of_few_distinct_shingles_are_alike_at_any_length():
+    import numpy as np
+    import pyarrow as pa
+
+    from chronocell.llm import linededup
+    from chronocell.llm.common import bytes_of
+    from chronocell.llm.simjoin import minhash_estimate
+
+    sketch, n = linededup.signatures(*bytes_of(pa.array(["-" * 30, "-" * 300, "an unlike line of its own"])))
+    assert n.tolist() == [1, 1, 19]
+    keep = minhash_estimate(0.8, linededup.HASHES)
+    at = np.array([0]), np.array([1])
+    assert keep(sketch[at[0]], sketch[at[1]], n[at[0]], n[at[1]])[0].all()
+    assert not keep(sketch[at[0]], sketch[at[0] + 2], n[at[0]], n[at[0] + 2])[0].any()
