@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose case and outer signs; numbers, names (capitalised inside a sentence) and units after numbers become typed
-placeholders. Hashes of template windows of WINDOW words join documents with benchmark items; on each diagonal (document
-place minus item place) the slots behind the placeholders must agree: one item value always stands for one document
-value. So items that were asked again with other numbers or names are found too.
+placeholders; a run of placeholders of one type inside a sentence is one place. Hashes of template windows of WINDOW
+places join documents with benchmark items. Diagonals (document place minus item place) at most WINDOW apart are chained
+in the order of both texts, so words put in or left out do not end a match; on all of a chain the slots behind the
+placeholders must agree: one item value always stands for one document value. So items that were asked again with other
+numbers or names are found too.
 
 The benchmark goes to the workers in blocks of bounded size; each further block is one more pass over the documents.
 
@@ -15,6 +17,8 @@ gives no matches; whole texts are read, whatever their length.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +50,9 @@ _WORDY = _table(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128,
 
 
 class Canon:
-    """The words of some texts: hashes of their canonical forms, kinds (0: literal), spans of bytes, each text's first word.
+    """The places of some texts: hashes of their canonical forms, kinds (0: literal), spans of words, each text's first place.
 
-    Case is lost for A-Z and the Latin-1 letters. A name is a capital followed by small letters, not at the start of a
+    A place is a word, or a run of placeholders of one type that no sentence's end divides. Case is lost for A-Z and the Latin-1 letters. A name is a capital followed by small letters, not at the start of a
     sentence; a number has digits and no letters; a unit is a known word after a number, or the letters behind one.
     """
 
@@ -85,10 +89,19 @@ class Canon:
                 self.kind[i] = UNIT
         typed = self.kind > 0
         self.h[typed] = _TYPED[self.kind[typed]]
+        head = np.ones(len(starts), bool)
+        head[1:] = ~typed[1:] | (self.kind[1:] != self.kind[:-1]) | first[1:]
+        places = np.flatnonzero(head)
+        self.at = np.append(places, len(starts))
+        self.h, self.kind, self.first = self.h[places], self.kind[places], np.searchsorted(places, self.first)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
+    def run(self, i: int) -> tuple[bytes, ...]:
+        """The words of a place."""
+        return tuple(self.word(j) for j in range(self.at[i], self.at[i + 1]))
+
 
 def windows(h: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows with enough literal words, and their places."""
@@ -108,7 +121,7 @@ class Benchmark:
     """Sorted window hashes of some items, by window size."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.words: list[tuple[int, list[bytes], np.ndarray, int]] = []
+        self.words: list[tuple[int, list[tuple[bytes, ...]], np.ndarray, int, int]] = []
         by: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         c = Canon(pa.array([t for _, t in items], pa.string()))
         for (item_id, _), a, b in zip(items, c.first[:-1], c.first[1:]):
@@ -117,7 +130,7 @@ class Benchmark:
             got, at = windows(h, kind, size) if size >= LEAST_LITERALS else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             if len(got):
                 by.setdefault(size, []).append((got, np.full(len(got), len(self.words)), at))
-                self.words.append((item_id, [c.word(i) for i in range(a, b)], kind, len(got)))
+                self.words.append((item_id, [c.run(i) for i in range(a, b)], kind, len(got), size))
         self.tables = {}
         for size, parts in by.items():
             h, item, at = (np.concatenate(x) for x in zip(*parts))
@@ -125,9 +138,9 @@ class Benchmark:
             self.tables[size] = (h[order], item[order], at[order])
 
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool, bool]]:
-        """(text, item_id, matched windows, the item's windows, consistent slots, exact slots) by the best diagonal."""
+        """(text, item_id, matched windows, the item's windows, consistent slots, exact slots) by the best chain of diagonals."""
         c = Canon(texts)
-        hits: dict[int, dict[tuple[int, int], list[tuple[int, int]]]] = {}
+        hits: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for size, (table, item, at) in self.tables.items():
             got, place = windows(c.h, c.kind, size)
             left = np.searchsorted(table, got, side="left")
@@ -137,34 +150,86 @@ class Benchmark:
                 if place[i] + size > c.first[t + 1]:
                     continue  # the window goes beyond the text's end
                 for j in range(left[i], np.searchsorted(table, got[i], side="right")):
-                    hits.setdefault(t, {}).setdefault((int(item[j]), int(place[i] - at[j])), []).append((int(at[j]), size))
-        for t, diagonals in hits.items():
-            yield from ((t, *x) for x in self._best(diagonals, c))
-
-    def _best(self, hits: dict, c: Canon) -> Iterator[tuple[int, int, int, bool, bool]]:
-        best: dict[int, tuple] = {}
-        for (item, shift), spots in hits.items():
-            item_id, words, kinds, total = self.words[item]
-            covered = sorted({p + k for p, size in spots for k in range(size)})
-            to: dict[tuple[int, bytes], bytes] = {}
-            consistent = exact = True
-            for p in covered:
-                if kinds[p]:
-                    value = c.word(p + shift)
-                    consistent &= to.setdefault((int(kinds[p]), words[p]), value) == value
-                    exact &= words[p] == value
-            now = (consistent, len({p for p, _ in spots}), exact)
-            if item not in best or now > best[item]:
-                best[item] = now
-        for item, (consistent, n, exact) in best.items():
-            yield self.words[item][0], n, self.words[item][3], consistent, exact
+                    hits[t, int(item[j])][int(place[i] - at[j])].add(int(at[j]))
+        for (t, item), diagonals in hits.items():
+            consistent, n, exact = self._best(item, diagonals, c)
+            yield t, self.words[item][0], n, self.words[item][3], consistent, exact
+
+    def _slots(self, item: int, shift: int, spots: set[int], c: Canon) -> tuple[bool, dict, bool]:
+        """Whether one item value stands for one document value on a diagonal, the values, and whether they are equal."""
+        _, words, kinds, _, size = self.words[item]
+        covered = {p + k for p in spots for k in range(size)}
+        to: dict[tuple, tuple] = {}
+        consistent = exact = True
+        for p in sorted(covered):
+            if not kinds[p]:
+                continue
+            a, b = words[p], c.run(p + shift)
+            n = min(len(a), len(b))
+            if p - 1 not in covered:  # where the match begins or ends, either run may go on beyond it
+                a, b = a[-n:], b[-n:]
+            elif p + 1 not in covered:
+                a, b = a[:n], b[:n]
+            for x, y in [((x,), (y,)) for x, y in zip(a, b)] if len(a) == len(b) else [(a, b)]:
+                consistent &= to.setdefault((int(kinds[p]), x), y) == y
+                exact &= x == y
+        return consistent, to, exact
+
+    def _best(self, item: int, diagonals: dict[int, set[int]], c: Canon) -> tuple[bool, int, bool]:
+        """(consistent, windows, exact) of the best diagonal or chain of diagonals."""
+        slots = {shift: self._slots(item, shift, spots, c) for shift, spots in diagonals.items()}
+        best = max((slots[shift][0], len(spots), slots[shift][2]) for shift, spots in diagonals.items())
+        group: list[int] = []
+        for shift in [*sorted(s for s in diagonals if slots[s][0]), None]:
+            if group and (shift is None or shift - group[-1] > WINDOW):
+                if len(group) > 1 and len(set().union(*(diagonals[s] for s in group))) > best[1]:
+                    best = max(best, self._chain(group, diagonals, slots))
+                group = []
+            group.append(shift)
+        return best
+
+    def _chain(self, group: list[int], diagonals: dict[int, set[int]], slots: dict) -> tuple[bool, int, bool]:
+        """The most windows in the order of both texts over near diagonals whose slots agree; group: consistent ones, sorted."""
+        agree: dict[tuple[int, int], bool] = {}
+
+        def agreeing(s: int, t: int) -> bool:
+            if (s, t) not in agree:
+                x, y = slots[s][1], slots[t][1]
+                agree[s, t] = agree[t, s] = all(y.get(k, v) == v for k, v in x.items())
+            return agree[s, t]
+
+        near = {s: [t for t in group if abs(t - s) <= WINDOW] for s in group}
+        spots: dict[int, list[int]] = {s: [] for s in group}
+        ends: dict[int, list[tuple[int, int, int]]] = {s: [] for s in group}  # windows so far, diagonal and number of the one before
+        for p, s in sorted((p, s) for s in group for p in diagonals[s]):
+            n, back, nth = 0, s, -1
+            for t in near[s]:
+                i = bisect_right(spots[t], p - 1 - max(0, t - s)) - 1  # places before this one in the item and in the document
+                if i >= 0 and ends[t][i][0] > n and (t == s or agreeing(s, t)):
+                    n, back, nth = ends[t][i][0], t, i
+            spots[s].append(p)
+            ends[s].append((n + 1, back, nth))
+        s = max(group, key=lambda s: ends[s][-1][0])
+        taken: dict[int, int] = defaultdict(int)
+        nth = len(ends[s]) - 1
+        while nth >= 0:
+            taken[s] += 1
+            _, s, nth = ends[s][nth]
+        to: dict = {}
+        n, exact = 0, True
+        for s in sorted(taken, key=lambda s: (-taken[s], s)):  # a smaller piece whose slots contradict the greater ones adds nothing
+            if all(to.get(k, v) == v for k, v in slots[s][1].items()):
+                to |= slots[s][1]
+                n += taken[s]
+                exact &= slots[s][2]
+        return True, n, exact
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs: (doc_id, text), benchmark: (item_id, text) -> one row per document and item that share a window:
     doc_id, tie (hash of the text), item_id, windows, item_windows, consistent, exact, contaminated.
 
-    contaminated: slots are consistent and at least `coverage` of the item's windows match on one diagonal.
+    contaminated: slots are consistent and at least `coverage` of the item's windows match on one chain of diagonals.
     """
     spark = session_of(docs)
     small_batches(spark)

@@ -153,6 +153,33 @@ def test_decontamination(spark, docs, empty):
     assert blocks == {i: r.contaminated for i, r in found.items()}
 
 
+def leaks(items, texts):
+    """{(text, item): (windows, item_windows, consistent, exact)} without Spark."""
+    import pyarrow as pa
+
+    return {m[:2]: m[2:] for m in decontam.Benchmark(list(enumerate(items))).matches(pa.array(texts, pa.string()))}
+
+
+def test_decontamination_chains_diagonals():
+    item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(38)).split()
+    named = " ".join([*item[:19], "Tom", *item[20:]])
+    wordy, gone = " ".join([*item[:19], "quite", *item[19:]]), " ".join([*item[:19], *item[20:]])
+    moved = " ".join(item[19:] + item[:19])
+    asked = [named.replace("Tom", "Mary Ann"), named.replace("Tom", "1 000"), wordy, gone, moved]
+    found = leaks([named, " ".join(item)], asked)
+    assert found[0, 0] == (31, 31, True, False)
+    assert found[2, 1] == (24, 31, True, True) and found[3, 1] == (23, 31, True, True)
+    assert found[4, 1][0] == 12  # the halves in the other order are no chain
+    twice = "Tom wants 1,000 pears then Tom asks for more of them because Tom is fond of pears and so is Mary today"
+    found = leaks(["So " + twice], ["So " + twice.replace("Tom", "Mary Ann").replace("1,000", "2 000"), "So " + twice.replace("Tom", "Mary Ann", 1)])
+    assert found[0, 0][0] == found[0, 0][1] and found[0, 0][2] and not (found[1, 0][2] and found[1, 0][0] == found[1, 0][1])
+    broken = [*item[:5], "Tom", *item[5:19], *item[19:30], "Tom", *item[30:]]
+    other = " ".join(broken).replace("Tom", "Mary", 1).replace("Tom", "Anna").split()
+    n, total, consistent, _ = leaks([" ".join(broken)], [" ".join([*other[:17], "quite", *other[17:]])])[0, 0]
+    assert consistent and n < total / 2 + 1  # one name can't stand for two: the pieces are not added up
+    assert leaks([twice], ["Smith and Bertha " + twice])[0, 0][2]
+
+
 @pytest.mark.parametrize("bound", [lmscore.BROADCAST_BYTES, 0])
 def test_language_model(spark, docs, empty, bound):
     from pyspark.sql import functions as F
