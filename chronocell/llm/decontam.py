@@ -7,6 +7,11 @@ in the order of both texts, so words put in or left out do not end a match; on a
 placeholders must agree: one item value always stands for one document value. So items that were asked again with other
 numbers or names are found too.
 
+A capitalised word that opens a sentence may be a name or not, so windows with such openers are indexed and probed in
+every form, each opener as a literal word and as a name. The matches of the literal forms alone are judged as well: an
+ordinary opener that differs takes nothing from them. Stays out: an opener that is the first of several words of a name
+does not join their run, so windows over it don't match a name of one word.
+
 The benchmark goes to the workers in blocks of bounded size; each further block is one more pass over the documents.
 
 Defined cases: null or empty texts on either side match nothing; an item shorter than a window is one window as long as
@@ -35,6 +40,7 @@ BLOCK_CHARS = 32_000_000
 UNITS = frozenset(b"km m cm mm kg g mg l ml s ms min h hz khz mhz ghz kb mb gb tb usd eur gbp kwh kw w v a c f mph kmh percent".split())
 WITH_UNIT = re.compile(rb"[+-]?[0-9]+(?:[.,][0-9]+)*([a-z]{1,7})")
 NUM, NAME, UNIT = 1, 2, 3
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _TYPED = mix64(np.arange(0xC0FFEE, 0xC0FFEE + 4, dtype=np.uint64))
 
 
@@ -53,7 +59,7 @@ class Canon:
     """The places of some texts: hashes of their canonical forms, kinds (0: literal), spans of words, each text's first place.
 
     A place is a word, or a run of placeholders of one type that no sentence's end divides. Case is lost for A-Z and the Latin-1 letters. A name is a capital followed by small letters, not at the start of a
-    sentence; a number has digits and no letters; a unit is a known word after a number, or the letters behind one.
+    sentence (there it is an opener, a literal that may be a name); a number has digits and no letters; a unit is a known word after a number, or the letters behind one.
     """
 
     def __init__(self, texts: pa.Array):
@@ -79,7 +85,8 @@ class Canon:
         first[1:] |= last[:-1]
         size = ends - starts
         self.kind = np.zeros(len(starts), np.int8)
-        self.kind[capital & (big == 1) & (letter == size) & (size > 1 + accented[np.minimum(at + 1, len(data) - 1)]) & ~first] = NAME
+        name = capital & (big == 1) & (letter == size) & (size > 1 + accented[np.minimum(at + 1, len(data) - 1)])
+        self.kind[name & ~first] = NAME
         self.kind[(digit > 0) & (letter == 0)] = NUM
         for i in np.flatnonzero((digit > 0) & (letter > 0) & (size <= 16)):
             if (m := WITH_UNIT.fullmatch(self.word(i))) and m[1] in UNITS:
@@ -94,6 +101,7 @@ class Canon:
         places = np.flatnonzero(head)
         self.at = np.append(places, len(starts))
         self.h, self.kind, self.first = self.h[places], self.kind[places], np.searchsorted(places, self.first)
+        self.opener = (name & first)[places] & (self.kind == 0)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -103,46 +111,66 @@ class Canon:
         return tuple(self.word(j) for j in range(self.at[i], self.at[i + 1]))
 
 
-def windows(h: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows with enough literal words, and their places."""
+def windows(h: np.ndarray, kind: np.ndarray, opener: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows with enough literal words in every form, their places, and whether an opener is a name in it.
+
+    The windows with literal openers come first, in order.
+    """
     n = len(h) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     with np.errstate(over="ignore"):
         out = np.zeros(n, np.uint64)
         for i in range(size):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    literal = np.concatenate(([0], np.cumsum(kind == 0)))
-    ok = literal[size:] - literal[:n] >= min(LEAST_LITERALS, size)
-    return mix64(out[ok]), np.flatnonzero(ok)
+            out = out * _STEP + h[i : i + n]
+        literal = np.concatenate(([0], np.cumsum(kind == 0)))
+        spare = literal[size:] - literal[:n] - min(LEAST_LITERALS, size)
+        places = [np.flatnonzero(spare >= 0)]
+        hashes = [out[places[0]]]
+        powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, _STEP))))[::-1]
+        held = np.zeros(n, np.int32)  # bit i: an opener at place i of the window
+        for i in range(size):
+            held |= opener[i : i + n].astype(np.int32) << i
+        some = np.flatnonzero((held > 0) & (spare > 0))
+        codes = held[some]
+        for code in np.unique(codes).tolist():
+            at = some[codes == code]
+            form = code
+            while form:  # every choice of the openers but none
+                bits = [i for i in range(size) if form >> i & 1]
+                here = at[spare[at] >= len(bits)]
+                if len(here):
+                    places.append(here)
+                    hashes.append(sum((((_TYPED[NAME] - h[here + i]) * powers[i]) for i in bits), start=out[here]))
+                form = (form - 1) & code
+    return mix64(np.concatenate(hashes)), np.concatenate(places), np.arange(sum(map(len, places))) >= len(places[0])
 
 
 class Benchmark:
     """Sorted window hashes of some items, by window size."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.words: list[tuple[int, list[tuple[bytes, ...]], np.ndarray, int, int]] = []
-        by: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.words: list[tuple[int, list[tuple[bytes, ...]], np.ndarray, np.ndarray, int, int]] = []
+        by: dict[int, list[tuple[np.ndarray, ...]]] = {}
         c = Canon(pa.array([t for _, t in items], pa.string()))
         for (item_id, _), a, b in zip(items, c.first[:-1], c.first[1:]):
-            h, kind = c.h[a:b], c.kind[a:b]
+            h, kind, opener = c.h[a:b], c.kind[a:b], c.opener[a:b]
             size = min(WINDOW, len(h))
-            got, at = windows(h, kind, size) if size >= LEAST_LITERALS else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            if len(got):
-                by.setdefault(size, []).append((got, np.full(len(got), len(self.words)), at))
-                self.words.append((item_id, [c.run(i) for i in range(a, b)], kind, len(got), size))
+            if size >= LEAST_LITERALS and len((got := windows(h, kind, opener, size))[0]):
+                by.setdefault(size, []).append((got[0], np.full(len(got[0]), len(self.words)), *got[1:]))
+                self.words.append((item_id, [c.run(i) for i in range(a, b)], kind, opener, int((~got[2]).sum()), size))
         self.tables = {}
         for size, parts in by.items():
-            h, item, at = (np.concatenate(x) for x in zip(*parts))
+            h, *more = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(h, kind="stable")
-            self.tables[size] = (h[order], item[order], at[order])
+            self.tables[size] = (h[order], *(x[order] for x in more))
 
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool, bool]]:
         """(text, item_id, matched windows, the item's windows, consistent slots, exact slots) by the best chain of diagonals."""
         c = Canon(texts)
-        hits: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for size, (table, item, at) in self.tables.items():
-            got, place = windows(c.h, c.kind, size)
+        hits: dict[tuple[int, int], dict[int, dict[int, bool]]] = defaultdict(lambda: defaultdict(dict))
+        for size, (table, item, at, as_name) in self.tables.items():
+            got, place, named = windows(c.h, c.kind, c.opener, size)
             left = np.searchsorted(table, got, side="left")
             found = np.flatnonzero(table[np.minimum(left, len(table) - 1)] == got)
             text = np.searchsorted(c.first, place[found], side="right") - 1
@@ -150,28 +178,34 @@ class Benchmark:
                 if place[i] + size > c.first[t + 1]:
                     continue  # the window goes beyond the text's end
                 for j in range(left[i], np.searchsorted(table, got[i], side="right")):
-                    hits[t, int(item[j])][int(place[i] - at[j])].add(int(at[j]))
+                    spots = hits[t, int(item[j])][int(place[i] - at[j])]
+                    spots[int(at[j])] = spots.get(int(at[j]), False) or not (named[i] or as_name[j])
         for (t, item), diagonals in hits.items():
-            consistent, n, exact = self._best(item, diagonals, c)
-            yield t, self.words[item][0], n, self.words[item][3], consistent, exact
+            literal = {shift: own for shift, spots in diagonals.items() if (own := {p for p, plain in spots.items() if plain})}
+            whole = {shift: set(spots) for shift, spots in diagonals.items()}
+            consistent, n, exact = max(self._best(item, x, c) for x in ((whole, literal) if literal and literal != whole else (whole,)))
+            yield t, self.words[item][0], n, self.words[item][4], consistent, exact
 
     def _slots(self, item: int, shift: int, spots: set[int], c: Canon) -> tuple[bool, dict, bool]:
         """Whether one item value stands for one document value on a diagonal, the values, and whether they are equal."""
-        _, words, kinds, _, size = self.words[item]
+        _, words, kinds, opener, _, size = self.words[item]
         covered = {p + k for p in spots for k in range(size)}
+        names = {x for w, k in zip(words, kinds) if k == NAME for x in w}
         to: dict[tuple, tuple] = {}
         consistent = exact = True
         for p in sorted(covered):
-            if not kinds[p]:
+            if not kinds[p] and not opener[p]:
                 continue
             a, b = words[p], c.run(p + shift)
+            if not kinds[p] and a == b and a[0] not in names:
+                continue  # an opener that stays as it is
             n = min(len(a), len(b))
             if p - 1 not in covered:  # where the match begins or ends, either run may go on beyond it
                 a, b = a[-n:], b[-n:]
             elif p + 1 not in covered:
                 a, b = a[:n], b[:n]
             for x, y in [((x,), (y,)) for x, y in zip(a, b)] if len(a) == len(b) else [(a, b)]:
-                consistent &= to.setdefault((int(kinds[p]), x), y) == y
+                consistent &= to.setdefault((int(kinds[p]) or NAME, x), y) == y
                 exact &= x == y
         return consistent, to, exact
 

@@ -180,6 +180,23 @@ def test_decontamination_chains_diagonals():
     assert leaks([twice], ["Smith and Bertha " + twice])[0, 0][2]
 
 
+def test_decontamination_sees_names_that_open_sentences():
+    item = "Anna has 5 red apples in her basket. Anna gives 2 of them to her friend. How many apples does Anna keep?"
+    opening = "Anna has many red apples in her old basket. Tom gives some of them to her best friend."
+    asked = [item.replace("Anna", "Bertha"), "So " + item.replace("Anna", "Bertha"), item, item.replace("Anna", "Bertha", 1)]
+    found = leaks([item], asked)
+    n = found[2, 0][1]
+    assert found[0, 0] == (n, n, True, False) and found[2, 0] == (n, n, True, True) and found[1, 0][0] == n and found[1, 0][2]
+    assert not found[3, 0][2] or found[3, 0][0] < n  # one name does not stand for two
+    found = leaks([opening], [opening.replace("Anna", "Bertha").replace("Tom", "Carl"), "And " + opening.replace("Anna", "Bertha").replace("Tom", "Carl")])
+    assert all(x[0] == x[1] and x[2] for x in found.values()) and len(found) == 2
+    plain = "The water of the lake is cold and deep in spring. The water of the river is warm and low in summer."
+    got = leaks([plain], [plain.replace("The", "Some", 1)])[0, 0]
+    assert got[2] and got[0] > got[1] / 2  # an ordinary opener that differs takes nothing from the literal matches
+    dense = "Yes. No. Anna. Tom. Mary. red green blue white black. Carl. Bertha."
+    assert leaks([dense], [dense])[0, 0][2:] == (True, True)
+
+
 @pytest.mark.parametrize("bound", [lmscore.BROADCAST_BYTES, 0])
 def test_language_model(spark, docs, empty, bound):
     from pyspark.sql import functions as F
