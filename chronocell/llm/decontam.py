@@ -15,7 +15,9 @@ does not join their run, so windows over it don't match a name of one word.
 The benchmark goes to the workers in blocks of bounded size; each further block is one more pass over the documents.
 
 Defined cases: null or empty texts on either side match nothing; an item shorter than a window is one window as long as
-itself (at least LEAST_LITERALS literal words); rows that repeat get the same result; an empty table on either side
+itself (at least LEAST_LITERALS literal words); an item without a window (fewer literal words, or dense with placeholders)
+is found as a verbatim copy alone, by the hash of all its words without types, and counts as one window: asked again with
+other slots it stays out, as do items of signs alone. An item of one common word so marks every document that has it; rows that repeat get the same result; an empty table on either side
 gives no matches; whole texts are read, whatever their length.
 """
 
@@ -76,6 +78,7 @@ class Canon:
             ends[move] -= 1
         self.starts, self.ends = starts, ends
         self.h = span_hashes(self.data, starts, ends)
+        self.raw, self.raw_first = self.h.copy(), self.first
         count = lambda mask: (lambda c: c[ends] - c[starts])(np.concatenate(([0], np.cumsum(mask, dtype=np.int32))))
         big, letter, digit = count(_BIG[data] | accented), count(_WORDY[data]), count(_DIGIT[data])
         at = np.minimum(starts, len(data) - 1)
@@ -146,24 +149,42 @@ def windows(h: np.ndarray, kind: np.ndarray, opener: np.ndarray, size: int) -> t
     return mix64(np.concatenate(hashes)), np.concatenate(places), np.arange(sum(map(len, places))) >= len(places[0])
 
 
+def sequences(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the `size` words from each place on."""
+    out = np.full(len(at), size, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            out = out * _STEP + h[at + i]
+    return mix64(out)
+
+
 class Benchmark:
-    """Sorted window hashes of some items, by window size."""
+    """Sorted window hashes of some items, by window size; whole sequences of words of the items without a window."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words: list[tuple[int, list[tuple[bytes, ...]], np.ndarray, np.ndarray, int, int]] = []
         by: dict[int, list[tuple[np.ndarray, ...]]] = {}
         c = Canon(pa.array([t for _, t in items], pa.string()))
-        for (item_id, _), a, b in zip(items, c.first[:-1], c.first[1:]):
+        verbatim: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for (item_id, _), a, b, start, end in zip(items, c.first[:-1], c.first[1:], c.raw_first[:-1], c.raw_first[1:]):
             h, kind, opener = c.h[a:b], c.kind[a:b], c.opener[a:b]
             size = min(WINDOW, len(h))
             if size >= LEAST_LITERALS and len((got := windows(h, kind, opener, size))[0]):
                 by.setdefault(size, []).append((got[0], np.full(len(got[0]), len(self.words)), *got[1:]))
                 self.words.append((item_id, [c.run(i) for i in range(a, b)], kind, opener, int((~got[2]).sum()), size))
+            elif (c.ends[start:end] > c.starts[start:end]).any():
+                verbatim[int(end - start)].append((int(start), item_id))
         self.tables = {}
         for size, parts in by.items():
             h, *more = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(h, kind="stable")
             self.tables[size] = (h[order], *(x[order] for x in more))
+        self.verbatim = {}  # by number of words: the first words' hashes, and the sequences' with their items
+        for size, whole in verbatim.items():
+            at = np.array([start for start, _ in whole])
+            h = sequences(c.raw, at, size)
+            order = np.argsort(h, kind="stable")
+            self.verbatim[size] = (np.unique(c.raw[at]), h[order], [whole[i][1] for i in order])
 
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool, bool]]:
         """(text, item_id, matched windows, the item's windows, consistent slots, exact slots) by the best chain of diagonals."""
@@ -185,6 +206,21 @@ class Benchmark:
             whole = {shift: set(spots) for shift, spots in diagonals.items()}
             consistent, n, exact = max(self._best(item, x, c) for x in ((whole, literal) if literal and literal != whole else (whole,)))
             yield t, self.words[item][0], n, self.words[item][4], consistent, exact
+        yield from ((t, item_id, 1, 1, True, True) for t, item_id in self._verbatim(c))
+
+    def _verbatim(self, c: Canon) -> list[tuple[int, int]]:
+        """(text, item_id) of the items without a window whose words stand in a text as they are."""
+        out: dict[tuple[int, int, int], None] = {}
+        for size, (heads, table, ids) in self.verbatim.items():
+            at = np.flatnonzero(heads[np.minimum(np.searchsorted(heads, c.raw), len(heads) - 1)] == c.raw)
+            text = np.searchsorted(c.raw_first, at, side="right") - 1
+            inside = at + size <= c.raw_first[text + 1]
+            at, text = at[inside], text[inside]
+            got = sequences(c.raw, at, size)
+            left, right = np.searchsorted(table, got, side="left"), np.searchsorted(table, got, side="right")
+            for t, a, b in sorted(set(zip(text[left < right].tolist(), left[left < right].tolist(), right[left < right].tolist()))):
+                out |= dict.fromkeys((t, size, j) for j in range(a, b))
+        return [(t, self.verbatim[size][2][j]) for t, size, j in out]
 
     def _slots(self, item: int, shift: int, spots: set[int], c: Canon) -> tuple[bool, dict, bool]:
         """Whether one item value stands for one document value on a diagonal, the values, and whether they are equal."""

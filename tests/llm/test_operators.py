@@ -197,6 +197,18 @@ def test_decontamination_sees_names_that_open_sentences():
     assert leaks([dense], [dense])[0, 0][2:] == (True, True)
 
 
+def test_decontamination_finds_items_without_a_window(spark):
+    items = ["Add 12 34 56 78 90 and 11", "what is love", "Add 3 4 to the sum", "Why?", "", None, "?!", "1 km 2 km 3 km 4 km 5 km 6 km"]
+    texts = ["please, add 12 34 56 78 90 and 11 now", "so What is love?", "what is", "love add 3 4 to the sum", "and add 12 34 56 78 91 and 11", "tell me why", None, "", "?!", "1 km 2 km 3 km 4 km 5 km 6 km", "what", "what is love what is love"]
+    plain = lambda x: [w.strip(".,;:!?").lower() for w in (x or "").split()]
+    wanted = {(t, i) for t, x in enumerate(texts) for i, y in enumerate(items) if any(plain(y)) and any(plain(x)[k : k + len(plain(y))] == plain(y) for k in range(len(plain(x))))}
+    assert set(leaks(items, texts)) == wanted and len(wanted) == 6
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontam.find_leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted(wanted) and all(r.contaminated and r.exact for r in found)
+
+
 @pytest.mark.parametrize("bound", [lmscore.BROADCAST_BYTES, 0])
 def test_language_model(spark, docs, empty, bound):
     from pyspark.sql import functions as F
