@@ -1,6 +1,7 @@
 """License scans: base phrases by word position and an exact containment join with templates, DataFrame operations only.
 
-A block is a line of a text, a template a short license statement. A block meets a template if at least `threshold` of
+A block is a line of a text with the next lines until those hold as many words as the longest template, so a statement
+may be wrapped; lines without a word don't count. A template is a short license statement. A block meets a template if at least `threshold` of
 the template's distinct words are in the block. Words are ordered by how many documents hold them, rarest first; a
 template's prefix is its first |T| - need + 1 words in that order, so a block without any of them can't meet it.
 Candidates then pass a length and a positional filter, and are verified on whole word sets.
@@ -76,7 +77,8 @@ def labelled(places, label: str):
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.85) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) of every document.
 
-    blocks: the (line, label, containment) found by the join; score: the best containment.
+    blocks: the (first line, label, containment) found by the join; score: the best containment. A template is named at
+    a line if the line alone meets it, or adds words to what the lines after it hold.
     """
     spark = session_of(docs)
     vocab = sorted({w for _, t in templates for w in t.split(" ")})
@@ -99,8 +101,22 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.85)
     rare = sorted({p[-1] for p in plan})
 
     lines = rows.join(kept.where(F.arrays_overlap("held", literal_words(rare))).select(F.col("doc_id").alias("k"), F.col("row_hash").alias("h")).distinct(), F.col("doc_id").eqNullSafe(F.col("k")) & (F.xxhash64("text") == F.col("h")), "left_semi")
-    lines = lines.select("doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(F.split("text", "\\n", -1)).alias("line", "block")).dropDuplicates(["doc_id", "row_hash", "line"])
-    blocks = lines.select("doc_id", "row_hash", "line", F.array_distinct(words_col(F.col("block"))).alias("block"))
+    longest = max((len(t.split(" ")) for _, t in templates), default=0)
+    rare_words = literal_words(rare)
+    # (line, words) of the lines with words; a block is built where one of its lines may hold a rare word
+    lines = lines.select("doc_id", F.xxhash64("text").alias("row_hash"), F.split("text", "\\n", -1).alias("parts")).dropDuplicates(["doc_id", "row_hash"])
+    lines = lines.withColumn("lines", F.transform("parts", lambda x, i: F.struct(i.alias("line"), words_col(x).alias("words")))).select("doc_id", "row_hash", F.filter("lines", lambda x: F.size(x["words"]) > 0).alias("lines"))
+    lines = lines.withColumn("rare", F.transform("lines", lambda x: F.arrays_overlap(x["words"], rare_words)))
+    none = F.expr("cast(array() as array<string>)")
+
+    def rest_of(i):
+        start = F.struct(none.alias("words"), F.lit(0).alias("n"))
+        return F.aggregate(F.slice("lines", i + 2, longest), start, lambda acc, x: F.when(acc["n"] < longest, F.struct(F.concat(acc["words"], x["words"]).alias("words"), (acc["n"] + F.size(x["words"])).alias("n"))).otherwise(acc), lambda acc: acc["words"])
+
+    starts = F.filter(F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.exists(F.slice("rare", i + 1, longest + 1), lambda x: x))
+    runs = lines.select("doc_id", "row_hash", F.explode(F.transform(starts, lambda i: F.struct(F.get(F.col("lines"), i)["line"].alias("line"), F.get(F.col("lines"), i)["words"].alias("own"), rest_of(i).alias("rest")))).alias("run"))
+    runs = runs.select("doc_id", "row_hash", "run.line", F.array_distinct("run.own").alias("alone"), F.array_distinct("run.rest").alias("rest"))
+    blocks = runs.withColumn("block", F.array_union("alone", "rest"))
     blocks = blocks.withColumn("ordered", F.array_intersect(literal_words(ranked), F.col("block")))  # the block's words in the global order
     hits = blocks.withColumn("word", F.explode(F.array_intersect("ordered", literal_words(rare)))).join(F.broadcast(prefix), "word")
     bound = 1 + F.least(F.col("size") - F.col("pos"), F.size("ordered") - F.array_position("ordered", F.col("word")))
@@ -108,6 +124,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.85)
     first = Window.partitionBy("doc_id", "row_hash", "line", "template").orderBy("pos")
     hits = hits.withColumn("n", F.row_number().over(first)).where("n = 1").where(bound >= F.col("need"))  # what stands before the first shared word is not shared
     hits = hits.withColumn("shared", F.size(F.array_intersect("ordered", "own"))).where("shared >= need")
+    hits = hits.where((F.size(F.array_intersect("alone", "own")) >= F.col("need")) | (F.size(F.array_intersect("rest", "own")) < F.col("shared")))
     found = hits.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set(F.struct("line", "label", (F.col("shared") / F.col("size")).alias("containment")))).alias("blocks"))
 
     found = found.withColumnsRenamed({"doc_id": "k", "row_hash": "h"})

@@ -115,6 +115,24 @@ def test_licenses(spark, docs, empty):
     assert all(r.labels == "" and r.score == 0 for i, r in found.items() if i != 8)
 
 
+def test_licenses_wrapped_over_lines(spark):
+    texts = [
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+        "// you can redistribute it and/or modify\n//\n// it under the terms of the GNU General Public License\nint main",
+        "first\n\nPermission is hereby\ngranted, free of\ncharge, to any person\nobtaining a copy\nof this software\nlast",
+        "Redistribution and use in source and binary forms, with or without\n" + "some words between the two halves of it \n" * 3 + "modification, are permitted",
+        "\n".join("this is free and unencumbered software released into the public domain".split()),
+        "Licensed under the Apache License, Version 2.0.\nLicensed under the Apache License, Version 2.0.",
+        "the end\nReleased under the MIT license",
+    ]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i].labels for i in range(7)] == ["bsd", "gpl", "mit", "", "unlicense", "apache", "mit"]
+    assert found[0].score == found[2].score == found[4].score == 1
+    lines = {i: [b.line for b in found[i].blocks or []] for i in found}
+    assert lines[0] == [0] and lines[5] == [0, 1] and 2 in lines[2]
+    assert (1, "mit") in [(b.line, b.label) for b in found[6].blocks]
+
+
 def test_near_duplicates(spark, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
     found = neardup.near_duplicates(docs, k=3, percent=85).collect()
