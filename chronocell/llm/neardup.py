@@ -6,7 +6,8 @@ of the registers and a parity sketch of the set thin them, and full shingle sets
 
 Defined cases: a text of fewer words than a shingle has the whole sequence as its one shingle; a null or empty text has
 none and is linked with nothing; copies count once as a node and share their class; rows that repeat get the same
-result; with a null doc_id a row is linked, but never named as a component; an empty table gives an empty result; whole
+result; with a null doc_id a row is linked, but never named as a component; one (doc_id, text) of each component is kept,
+the least by doc_id (nulls last) and text hash, so rows that share an id or have none don't hide each other; an empty table gives an empty result; whole
 texts are read, whatever their length.
 """
 
@@ -109,7 +110,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.withColumn("tie", F.xxhash64("text"))
     rows = cut(texts.select(F.col("doc_id").cast("long"), "tie", "text").mapInArrow(_sketcher(k), "doc_id long, tie long, n long, node long, check long, sketch binary"), "sketches")
     classes = rows.where("n > 0").groupBy("node", "check", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("at"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.select("node", "n", "at.doc_id", "at.tie", "sketch"), "classes")
+    classes = cut(classes.select("node", "n", "at", "at.doc_id", "at.tie", "sketch"), "classes")
     held = classes.select("node", F.col("doc_id").alias("k"), F.col("tie").alias("t"))
 
     def own_texts(needed: DataFrame) -> DataFrame:
@@ -119,16 +120,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     found = linked_components(classes.select("node", "n", "sketch"), own_texts, BANDS, ROWS, REGISTERS + PARITY_BITS // 16, setsketch_estimate(percent / 100, BASE, REGISTERS), _verifier(k, percent))
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.select("node", "root").join(ids, "root").select("node", "component_id")
+    ids = named.groupBy("root").agg(F.min("at").alias("at"))
+    named = named.select("node", "root").join(ids, "root").select("node", F.col("at.doc_id").alias("component_id"), F.col("at.tie").alias("__tie"))
     out = rows.select("doc_id", "tie", F.col("n").alias("n_shingles"), "node")
     linked = out.where("n_shingles > 0").join(named, "node").drop("node")
-    alone = out.where("n_shingles = 0").drop("node").withColumn("component_id", F.col("doc_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = out.where("n_shingles = 0").drop("node").withColumns({"component_id": F.col("doc_id"), "__tie": F.col("tie")})
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("tie").eqNullSafe(F.col("__tie"))).drop("__tie")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component; columns stay."""
     kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__k"), F.col("tie").alias("__t")).distinct()
     first = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__k")) & F.xxhash64("text").eqNullSafe(F.col("__t")), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    return first.withColumn("__t", F.xxhash64("text")).dropDuplicates(["doc_id", "__t"]).drop("__t")

@@ -148,6 +148,17 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.drop_near_duplicates(docs).count() == len(neardup.drop_near_duplicates(docs).select("doc_id").distinct().collect())
 
 
+def test_near_duplicates_keep_rows_without_or_with_shared_ids(spark):
+    texts = [(None, BASE), (None, BASE.upper()), (None, FRENCH), (None, "no id here at all"), (1, "one text of its own"), (1, "another one under that id"), (1, "one text of its own"), (2, FRENCH), (None, None), (None, None), (3, "")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in neardup.drop_near_duplicates(rows).collect()), key=str)
+    one = [x for x in kept if (x[1] or "").lower() == BASE.lower()]
+    assert len(one) == 1 and one[0][0] is None
+    rest = [(1, "one text of its own"), (1, "another one under that id"), (2, FRENCH), (3, ""), (None, "no id here at all"), (None, None)]
+    assert sorted([x for x in kept if x not in one], key=str) == sorted(rest, key=str)
+    assert kept == sorted(((r.doc_id, r.text) for r in neardup.drop_near_duplicates(rows.repartition(3)).collect()), key=str)
+
+
 def test_line_dedup(spark, docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
     found = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
