@@ -227,6 +227,18 @@ def codec_bigint(spark, sf):
     return _names(spark, sf).select("c_custkey", codecs.short_bigint(F.substring("c_name", 1, 6)).cast("string").alias("number"))
 
 
+# exact numbers of any size in SQL: limbs of nine decimal digits, the least first; a character needs less than one
+_CARRY = "list_transform(range(1, len(a) + 1), lambda i: {0})"
+_STEP = _CARRY.format("a[i] * 1114112 % 1000000000 + CASE WHEN i = 1 THEN b[1] ELSE a[i - 1] * 1114112 // 1000000000 END")
+_SETTLE = _CARRY.format("a[i] % 1000000000 + CASE WHEN i = 1 THEN 0 ELSE a[i - 1] // 1000000000 END")
+_ZEROS = "list_transform(range(length(c_name) + 1), lambda i: 0::BIGINT)"
+
+
+@query(f"WITH l AS (SELECT c_custkey, c_name, list_reduce(list_prepend({_ZEROS}, list_transform(string_split(c_name, ''), lambda ch: [unicode(ch)::BIGINT])), lambda a, b: {_STEP}) AS x FROM customer WHERE c_name <> ''), s AS (SELECT c_custkey, list_reduce(list_prepend(x, list_transform(range(length(c_name) + 1), lambda i: [i])), lambda a, b: {_SETTLE}) AS x FROM l) SELECT c_custkey, ltrim(array_to_string(list_transform(list_reverse(x), lambda d: lpad(CAST(d AS VARCHAR), 9, '0')), ''), '0') AS number FROM s UNION ALL SELECT c_custkey, CASE WHEN c_name = '' THEN '0' END FROM customer WHERE c_name IS NULL OR c_name = ''")
+def codec_bigint_whole(spark, sf):
+    return _names(spark, sf).select("c_custkey", codecs.long_bigint(F.col("c_name")).alias("number"))
+
+
 # ---- pages and plans ----------------------------------------------------------------------------
 
 P_START, P_END, P_STEP = START + 1000, START + 5 * W, 1 << 24

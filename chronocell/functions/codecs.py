@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ def long_bigint(s: pd.Series) -> pd.Series:
         n = 0
         for c in x:
             n = n * CODE_POINTS + ord(c)
-        return str(n)
+        return format(Decimal(n), "f")  # str() of an int ends at 4,300 digits
 
     return s.map(one)
 
