@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronocell.llm import decontam, language, linededup, mixing, neardup
+from chronocell.llm.common import cut
 from chronocell.llm.kernels import remainder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,12 +39,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
 
-#: Kernel models, sketches and Pareto order hashes are beyond SQL; tests/llm holds the stages against brute force.
+#: Kernel models, sketches and Pareto order hashes are beyond SQL; tests/llm holds their operators against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

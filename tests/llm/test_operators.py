@@ -271,6 +271,22 @@ def test_classifiers(spark, docs, empty):
     assert toxicity.train_toxicity(bad.limit(0)) is None
 
 
+def test_pipeline_writes_every_stage(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append([f.split("/")[-2] for f in docs.inputFiles()])
+        return docs.where("doc_id >= 0")
+
+    spark.range(5).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 5 and all(f.startswith("stage-one-") for f in seen[1]) and seen[1]
+    assert all(f.split("/")[-2].startswith("stage-two-") for f in out.inputFiles())
+
+
 def test_crc_remainder(spark):
     from pyspark.sql import functions as F
 
