@@ -324,19 +324,34 @@ def count_per_tag(spark, sf):
     return aggregates.count_per_tag(latest_within(v_raw(spark, sf)))
 
 
-@query(f"WITH v AS (SELECT * FROM ({RAW}) WHERE {IN_TAGS} AND {IN_TIME} {LATEST}) SELECT tag_id, count(*) AS samples FROM v GROUP BY 1")
-def fold_generic(spark, sf):
+@query(f"WITH v AS (SELECT * FROM ({RAW}) {LATEST}) SELECT tag_id, count(*) AS samples FROM v GROUP BY 1")
+def count_per_tag_whole(spark, sf):
+    return aggregates.count_per_tag(latest_version(v_raw(spark, sf)))
+
+
+def folded_counts(spark, df: DataFrame) -> DataFrame:
     def step(first, last, page, acc):
         acc = acc or {}
         for row in page or []:
             acc[row.tag_id] = acc.get(row.tag_id, 0) + row.samples
         return (sorted(acc.items()) if last else None), acc
 
-    # partial counts per partition go to the fold, never the samples themselves
-    found = list(aggregates.fold(count_per_tag(spark, sf), step))[-1]
+    # partial counts of each page of samples go to the fold, never the samples themselves
+    partial = aggregates.map_pages(df.select("tag_id"), lambda p: p.groupby("tag_id").size().reset_index(name="samples"), "tag_id long, samples long")
+    found = list(aggregates.fold(partial, step))[-1]
     return spark.createDataFrame(found, "tag_id long, samples long")
 
 
+@query(f"WITH v AS (SELECT * FROM ({RAW}) WHERE {IN_TAGS} AND {IN_TIME} {LATEST}) SELECT tag_id, count(*) AS samples FROM v GROUP BY 1")
+def fold_generic(spark, sf):
+    return folded_counts(spark, latest_within(v_raw(spark, sf)))
+
+
+@query(f"WITH v AS (SELECT * FROM ({RAW}) {LATEST}) SELECT tag_id, count(*) AS samples FROM v GROUP BY 1")
+def fold_generic_whole(spark, sf):
+    return folded_counts(spark, latest_version(v_raw(spark, sf)))
+
+
 @query(f"WITH v AS (SELECT * FROM ({DUP}) {LATEST}) SELECT tag_id, max(sample_time) AS sample_time, arg_max(n_value, sample_time) AS n_value FROM v GROUP BY 1")
 def latest(spark, sf):
     return aggregates.latest_per_tag(latest_version(v_dup(spark, sf)))
