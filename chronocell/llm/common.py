@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -22,30 +24,68 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where it is unset, one below the warehouse."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Only a local master without that setting gets a folder below its warehouse: on a cluster that may be a machine's own.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    if root:
+        return root
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, deleted by Hadoop's client when the driver ends."""
     path = f"{work_dir(spark).rstrip('/')}/chronocell/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files, at = _hadoop(spark, path)
+    files.deleteOnExit(at)
     return path
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value) -> Iterator[None]:
+    """A session setting for the time of a block."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later steps survive lost executors without recomputing it."""
+    """Write df once to the shared folder and read it back: later steps survive lost executors without recomputing it.
+
+    The shuffles of the write are deleted at its end, since nothing reads them any more.
+    """
     spark = session_of(df)
     path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by cut(), once what was made from them is written itself."""
+    for table in tables:
+        files, at = _hadoop(session_of(table), table._cut_at)
+        files.delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts may be long, so fewer rows go to Python at once than by default."""
+    """Texts may be long, so fewer rows go to Python at once than by default.
+
+    Spark reads the setting when a plan runs, which is after an operator has returned, so it holds for the session.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
@@ -55,9 +95,16 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def clear_of(df: DataFrame, *names: str) -> DataFrame:
-    """Keep the named columns only, so extra columns can't clash with an operator's own."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 # ---- Arrow slices -------------------------------------------------------------------------------
@@ -220,7 +267,6 @@ def components(edges: DataFrame) -> DataFrame:
     small-star rounds over shuffled edges go on, each written to the shared folder; below it, one task ends the work.
     Null ends are ignored; no edges give no rows.
     """
-    spark = session_of(edges)
     pair = "a long, b long"
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
     now = cut(edges.mapInArrow(_local_forest, pair).distinct(), "forest")
@@ -231,12 +277,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = now.join(least.withColumnRenamed("a", "k"), F.col("b") == F.col("k")).select("a", F.col("m").alias("b")).unionByName(now.join(least.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).select("a", F.col("m").alias("b"))).unionByName(now.join(least.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).select("b", F.col("m").alias("c")).toDF("a", "b"))
-        now = cut(large.where("a <> b").distinct().mapInArrow(_local_forest, pair).distinct(), "forest")
-    if state.n and state.n <= ONE_TASK_EDGES:
-        now = now.coalesce(1).mapInArrow(_local_forest, pair)
-    rooted = now.groupBy("a").agg(F.min("b").alias("b"))
+        least = both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.col("k")).alias("m"))
+        joined = now.join(least, F.col("a") == F.col("k"))
+        large = now.join(least, F.col("b") == F.col("k")).select("a", F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).unionByName(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
+        new = cut(large.where("a <> b").distinct().mapInArrow(_local_forest, pair).distinct(), "forest")
+        drop(now)
+        now = new
+    last = now.coalesce(1).mapInArrow(_local_forest, pair) if 0 < state.n <= ONE_TASK_EDGES else now
+    rooted = last.groupBy("a").agg(F.min("b").alias("b"))
     found = rooted.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = rooted.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return cut(found.unionByName(roots), "components")
+    out = cut(found.unionByName(roots), "components")
+    drop(now)
+    return out

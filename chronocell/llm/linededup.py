@@ -1,16 +1,21 @@
 """Fuzzy line dedup by MinHash.
 
-Lines are compared without case and outer spaces. Signatures over runs of SHINGLE characters are banded for high
+Lines are compared without case and outer spaces. A line's shingles are its runs of SHINGLE bytes. Its signature is one
+permutation of MinHash: the hashes fall into HASHES bins, the least hash of a bin is its register, and an empty bin takes
+the register of the first filled bin in an order of its own, the same for all lines. Signatures are banded for high
 recall; candidates are verified by the exact Jaccard of their shingle sets and joined by distributed union-find. Of each
 component the line with the smallest (doc_id, place) stays.
 
 Defined cases: empty lines always stay; a line shorter than a shingle is one shingle; a null text has no lines and
-stays null; a document all of whose lines go keeps an empty text; rows that repeat with one id count as copies of the
-same lines (one row keeps them, chosen by the text's hash); an empty table gives an empty result; whole texts are read.
+stays null; a document all of whose lines go keeps an empty text; with a null doc_id a line comes after all others, and
+ties between rows that share an id go by the text's hash; rows equal in doc_id and text are one document and get the same
+result; other columns stay, but n_lines and n_dropped take the place of columns of these names; an empty table gives an
+empty result; whole texts are read, whatever their length.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,136 +23,151 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, mix64, session_of, slices, small_batches
+from .common import bytes_of, cut, drop, fresh, mix64, session_of, slices, small_batches
 from .simjoin import linked_components, minhash_estimate, parities_of
 
 SHINGLE, HASHES, BANDS, ROWS = 7, 64, 16, 4
-#: Shingle places hashed at a time, so that the buffers stay in a core's cache.
-BLOCK = 1 << 14
 #: Bits of a line's parity sketch, and of the hashes that tell its distinct shingles apart beside a line's number.
 PARITY_BITS, DISTINCT_BITS = 512, 44
+#: Bytes of text in one slice, pairs that are verified together, and lines a task remembers to have signed.
+SLICE, PAIRS, REMEMBERED = 1 << 19, 256, 200_000
+#: Lines that more than this share of all places hold: there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
 
 
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    x = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)).astype(np.uint32) | np.uint32(1)
-    return x[:HASHES], x[HASHES:]
+def _order() -> np.ndarray:
+    """For each bin all bins, itself first, the others in an order drawn for it."""
+    rng = np.random.default_rng(20)
+    return np.array([np.concatenate(([b], rng.permutation(np.delete(np.arange(HASHES), b)))) for b in range(HASHES)])
 
 
-_SEEDS = _seeds()
+_ORDER = _order()
 
 
-def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, HASHES + PARITY_BITS / 16) 16-bit minima and parity words, and the number of distinct shingles.
-
-    Each line ends with one newline byte.
-    """
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of lines as 56-bit numbers, and how many each line has; each line ends with one newline byte."""
     lengths = np.diff(offsets) - 1
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    h = mix64(np.ndarray(len(data), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * SHINGLE) - 1))
+    x = np.ndarray(len(data), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * SHINGLE) - 1)
     n = np.maximum(1, lengths - SHINGLE + 1)
-    starts = np.cumsum(n) - n
-    h = h[np.arange(n.sum()) + np.repeat(offsets[:-1] - starts, n)]
-    low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
-    pieces = np.union1d(starts, np.arange(0, len(h), BLOCK))
-    least = np.empty((HASHES, len(pieces)), np.uint32)
-    one, two = np.empty(BLOCK, np.uint32), np.empty(BLOCK, np.uint32)
-    for at in range(0, len(h), BLOCK):
-        x, y = low[at : at + BLOCK], high[at : at + BLOCK]
-        p, q = one[: len(x)], two[: len(x)]
-        first, last = np.searchsorted(pieces, (at, at + BLOCK))
-        inner = pieces[first:last] - at
-        for i, (a, b) in enumerate(zip(*_SEEDS)):
-            np.multiply(x, a, out=p)
-            np.multiply(y, b, out=q)
-            np.bitwise_xor(p, q, out=p)
-            np.minimum.reduceat(p, inner, out=least[i, first:last])
-    if len(pieces) > len(starts):
-        least = np.minimum.reduceat(least, np.searchsorted(pieces, starts), axis=1)
-    shift = np.uint64(DISTINCT_BITS)
-    distinct = np.sort((np.repeat(np.arange(len(n), dtype=np.uint64), n) << shift) | (h >> np.uint64(64 - DISTINCT_BITS)))
+    return x[np.arange(n.sum()) + np.repeat(offsets[:-1] - (np.cumsum(n) - n), n)], n
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, HASHES + PARITY_BITS / 16) 16-bit registers and parity words, and the number of distinct shingles."""
+    x, n = shingles(data, offsets)
+    lines, shift = len(n), np.uint64(DISTINCT_BITS)
+    distinct = np.sort((np.repeat(np.arange(lines, dtype=np.uint64), n) << shift) | (mix64(x) >> np.uint64(64 - DISTINCT_BITS)))
     distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))] if len(distinct) else distinct
-    count = np.bincount((distinct >> shift).astype(np.int64), minlength=len(n))
+    count = np.bincount((distinct >> shift).astype(np.int64), minlength=lines)
+    bin_ = (distinct >> np.uint64(DISTINCT_BITS - HASHES.bit_length() + 1)).astype(np.int64)  # of all lines' bins
+    least = np.flatnonzero(np.concatenate(([True], bin_[1:] != bin_[:-1]))) if len(bin_) else bin_
+    registers, filled = np.zeros(lines * HASHES, np.uint16), np.zeros(lines * HASHES, bool)
+    registers[bin_[least]] = (distinct[least] & np.uint64(0xFFFF)).astype(np.uint16)
+    filled[bin_[least]] = True
+    empty = np.flatnonzero(~filled)
+    line, own = empty // HASHES * HASHES, empty % HASHES
+    for i in range(1, HASHES):
+        if not len(empty):
+            break
+        other = line + _ORDER[own, i]
+        ok = filled[other]
+        registers[empty[ok]] = registers[other[ok]]
+        empty, line, own = empty[~ok], line[~ok], own[~ok]
     parity = parities_of(distinct, np.cumsum(count) - count, PARITY_BITS)
-    return np.concatenate(((least % np.uint32(65521)).astype(np.uint16).T, parity), axis=1), count
+    return np.concatenate((registers.reshape(lines, HASHES), parity), axis=1), count
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Batches put together until they hold about `limit` bytes of the column."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column(column).nbytes
-        if size >= limit:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
+LINE = "doc_id {0}, tie long, place int, node long, check long, n long, sketch binary, norm string"
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line's place, with a signature at the first of equal lines in a slice."""
-    for batch in _gathered(batches, "norm"):
-        for part in slices(batch, "norm"):
-            node = part.column("node").to_numpy(zero_copy_only=False)
-            _, once = np.unique(node, return_index=True)
-            data, offsets = bytes_of(part.column("norm").take(pa.array(once)))
-            sketch, n = signatures(data, offsets)
-            places, rows = np.zeros(len(node), np.int64), [None] * len(node)
-            places[once] = n
-            for i, r in zip(once.tolist(), sketch):
-                rows[i] = r.tobytes()
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "tie", "place", "node")], pa.array(places), pa.array(rows, pa.binary())], ["doc_id", "tie", "place", "node", "n", "sketch"])
-
-
-def line_shingles(line: str) -> frozenset:
-    raw = line.encode("utf-8", "surrogatepass")
-    return frozenset(raw[i : i + SHINGLE] for i in range(max(1, len(raw) - SHINGLE + 1)))
+    """Rows (doc_id, tie, text) -> every line's place and 128-bit hash, with signature and text where the task meets a line first."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        for part in slices(batch, "text", SLICE):
+            row, place, nodes, once, new = [], [], [], [], []
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            for i, text in enumerate(part.column("text").to_pylist()):
+                for j, line in enumerate((text or "").lower().split("\n")):
+                    if line := line.strip(" "):
+                        node = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                        if node not in seen:
+                            seen.add(node)
+                            once.append(len(row)), new.append(line)
+                        row.append(i), place.append(j), nodes.append(node)
+            n, sketch, norm = [None] * len(row), [None] * len(row), [None] * len(row)
+            words, count = signatures(*bytes_of(pa.array(new, pa.string()))) if new else ([], [])
+            for i, c, w, t in zip(once, count, words, new):
+                n[i], sketch[i], norm[i] = int(c), w.tobytes(), t
+            both = np.frombuffer(b"".join(nodes), np.int64).reshape(-1, 2)
+            at = pa.array(row, pa.int64())
+            columns = [part.column("doc_id").take(at), part.column("tie").take(at), pa.array(place, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(norm, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "place", "node", "check", "n", "sketch", "norm"])
+
+
+def shared_shingles(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of lines, at most PAIRS of them: the distinct shingles both hold, and those of either."""
+    keys = []
+    for side in (a, b):
+        x, n = shingles(*bytes_of(side))
+        x = np.sort((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(8 * SHINGLE)) | x)
+        keys.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
+    both = np.sort(np.concatenate(keys))
+    count = lambda x: np.bincount((x >> np.uint64(8 * SHINGLE)).astype(np.int64), minlength=len(a))
+    shared = count(both[1:][both[1:] == both[:-1]])
+    return shared, count(both) - shared
 
 
 def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b, last = [], [], (None, None)
-            for a, b, s, t in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]):
-                if last[0] != b:
-                    last = (b, line_shingles(t))
-                x, y = line_shingles(s), last[1]
-                both = len(x & y)
-                if both >= threshold * (len(x) + len(y) - both) - 1e-9:
-                    out_a.append(a), out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            for i in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(i, PAIRS)
+                shared, either = shared_shingles(part.column("text_a"), part.column("text_b"))
+                ok = pa.array(shared >= threshold * either - 1e-9)
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], ["a", "b"])
 
     return run
 
 
 def doubled_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs: (doc_id, text) -> (doc_id, tie, places): the 0-based places of the lines that go; tie is the text's hash."""
-    spark = session_of(docs)
-    small_batches(spark)
-    lines = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.withColumn("norm", F.lower(F.trim("line"))).where("norm <> ''").select("doc_id", "tie", "place", "norm", F.xxhash64("norm").alias("node"))
+    small_batches(session_of(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketches = cut(lines.mapInArrow(_signer, f"doc_id {kind}, tie long, place int, node long, n long, sketch binary"), "signatures")
-    signed = sketches.where("sketch is not null").select("node", "n", "sketch")
-    found = linked_components(signed, lambda needed: lines.select("node", F.col("norm").alias("text")).join(needed, "node"), BANDS, ROWS, HASHES + PARITY_BITS // 16, minhash_estimate(threshold, HASHES), _verifier(threshold))
-    spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "place")
-    places = sketches.select("node", spot.alias("spot"))
-    rooted = places.groupBy("node").agg(F.min("spot").alias("first"), F.count("*").alias("n")).join(found, "node", "left")
-    best = rooted.withColumn("root", F.coalesce("root", "node")).groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("n")).where("n > 1")
-    best = rooted.select("node", F.coalesce("root", "node").alias("root")).join(best, "root").select("node", "best")
-    gone = places.join(best, "node").where("spot <> best")
+    lines = cut(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_signer, LINE.format(kind)), "signatures")
+    first = lines.where("sketch is not null")
+    found = linked_components(first.select("node", "n", "sketch"), lambda wanted: first.select("node", F.col("norm").alias("text")).join(wanted.hint("merge"), "node").dropDuplicates(["node"]), BANDS, ROWS, HASHES + PARITY_BITS // 16, minhash_estimate(threshold, HASHES), _verifier(threshold))
+    # Only the places of linked lines, and of lines that occur more than once, are looked at. Copies are lines equal in
+    # both hashes; a component is a root, or such a line that is linked to no other.
+    places = lines.select("doc_id", "tie", "place", "node", "check")
+    copies = cut(places.groupBy("node", "check").agg(F.count("*").alias("held")).where("held > 1"), "copies")
+    alone = copies.join(found, "node", "left_anti").select("node", F.col("check").alias("own"), F.col("node").alias("root"), F.col("check").alias("side"))
+    asked = cut(found.select("node", F.lit(None).cast("long").alias("own"), "root", F.lit(0).cast("long").alias("side")).unionByName(alone), "asked")
+    total = places.count()
+    hot = F.broadcast(copies.where(F.col("held") > HOT_SHARE * total).select("node").distinct())  # fewer than 1 / HOT_SHARE rows
+    met = lambda rows, of: rows.join(of.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("own").isNull() | (F.col("own") == F.col("check"))))
+    spots = met(places, F.broadcast(asked.join(hot, "node", "left_semi"))).unionByName(met(places.join(hot, "node", "left_anti"), asked.join(hot, "node", "left_anti")))
+    spots = cut(spots.select("root", "side", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "place").alias("spot")), "places")
+    drop(copies, asked, found, lines)
+    best = cut(spots.groupBy("root", "side").agg(F.min("spot").alias("best"), F.count("*").alias("held")), "best")
+    often, rest = best.where(F.col("held") > HOT_SHARE * total), best.where(F.col("held") <= HOT_SHARE * total)
+    often, key = F.broadcast(often), ["root", "side"]  # fewer than 1 / HOT_SHARE rows
+    gone = spots.join(often, key).unionByName(spots.join(often, key, "left_anti").join(rest, key)).where("spot <> best")
     return gone.groupBy("spot.doc_id", "spot.tie").agg(F.sort_array(F.collect_set("spot.place")).alias("places"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs with the doubled lines taken out of text (and n_chars, where there is one, counted anew); adds n_lines, n_dropped."""
-    gone = doubled_lines(docs.select("doc_id", "text"), threshold).select(F.col("doc_id").alias("__k"), F.col("tie").alias("__t"), "places")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__k")) & (F.xxhash64("text") == F.col("__t")), "left")
+    docs = docs.drop("n_lines", "n_dropped")
+    key, tie, places = fresh(docs, "gone_id", "gone_tie", "gone_places")
+    gone = doubled_lines(docs.select("doc_id", "text"), threshold).select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("places").alias(places))
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(tie)), "left")
     pieces = F.split("text", "\n", -1)
-    hit = F.col("places").isNotNull()
-    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("places", i)), "\n")
-    few = F.when(hit, kept).otherwise(F.col("text"))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long")).withColumn("n_dropped", F.when(hit, F.size("places")).otherwise(0).cast("long")).withColumn("text", few)
+    hit = F.col(places).isNotNull()
+    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(places, i)), "\n")
+    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long")).withColumn("n_dropped", F.when(hit, F.size(places)).otherwise(0).cast("long")).withColumn("text", F.when(hit, kept).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.drop("__k", "__t", "places")
+    return out.drop(key, tie, places)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, lower_bytes, mix64, session_of, shingles_of, slices, small_batches, span_hashes, words_of
+from .common import bytes_of, cut, drop, fresh, lower_bytes, mix64, session_of, shingles_of, slices, small_batches, span_hashes, words_of
 from .simjoin import linked_components, parities_of, setsketch_estimate
 
 REGISTERS, BANDS, ROWS, BASE = 128, 32, 4, 1.02
@@ -104,32 +104,32 @@ def _verifier(k: int, percent: int):
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs: (doc_id, text) -> (doc_id, tie, n_shingles, component_id, kept) of every row; tie is the text's hash."""
-    spark = session_of(docs)
-    small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    texts = docs.withColumn("tie", F.xxhash64("text"))
-    rows = cut(texts.select(F.col("doc_id").cast("long"), "tie", "text").mapInArrow(_sketcher(k), "doc_id long, tie long, n long, node long, check long, sketch binary"), "sketches")
+    small_batches(session_of(docs))
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
+    rows = cut(texts.select("doc_id", "tie", "text").mapInArrow(_sketcher(k), "doc_id long, tie long, n long, node long, check long, sketch binary"), "sketches")
     classes = rows.where("n > 0").groupBy("node", "check", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("at"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.select("node", "n", "at", "at.doc_id", "at.tie", "sketch"), "classes")
-    held = classes.select("node", F.col("doc_id").alias("k"), F.col("tie").alias("t"))
+    classes = cut(classes, "classes")
 
-    def own_texts(needed: DataFrame) -> DataFrame:
-        wanted = cut(held.join(needed, "node"), "wanted")  # so that its size is known before the texts are dealt
-        own = texts.withColumn("doc_id", F.col("doc_id").cast("long"))
-        return own.join(wanted, F.col("tie").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("k"))).select("node", "text")
+    def own_texts(wanted: DataFrame) -> DataFrame:
+        """One text of each wanted class. Texts are dealt by the join at any size, so the plan doesn't depend on it."""
+        of = wanted.join(classes.select("node", F.col("at.doc_id").alias("k"), F.col("at.tie").alias("t")), "node").hint("merge")
+        own = texts.join(of, F.col("tie").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("k")))
+        return own.select("node", "text").dropDuplicates(["node"])
 
     found = linked_components(classes.select("node", "n", "sketch"), own_texts, BANDS, ROWS, REGISTERS + PARITY_BITS // 16, setsketch_estimate(percent / 100, BASE, REGISTERS), _verifier(k, percent))
-    named = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("node", "check", "at").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("at").alias("at"))
-    named = named.select("node", "root").join(ids, "root").select("node", F.col("at.doc_id").alias("component_id"), F.col("at.tie").alias("__tie"))
-    out = rows.select("doc_id", "tie", F.col("n").alias("n_shingles"), "node")
-    linked = out.where("n_shingles > 0").join(named, "node").drop("node")
-    alone = out.where("n_shingles = 0").drop("node").withColumns({"component_id": F.col("doc_id"), "__tie": F.col("tie")})
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("tie").eqNullSafe(F.col("__tie"))).drop("__tie")
+    named = named.select("node", "check", "root").join(ids, "root").select("node", "check", F.col("at.doc_id").alias("component_id"), F.col("at.tie").alias("first_tie"))
+    out = rows.select("doc_id", "tie", F.col("n").alias("n_shingles"), "node", "check")
+    linked = out.where("n_shingles > 0").join(cut(named, "named"), ["node", "check"]).drop("node", "check")
+    drop(classes, found)
+    alone = out.where("n_shingles = 0").drop("node", "check").withColumns({"component_id": F.col("doc_id"), "first_tie": F.col("tie")})
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("tie").eqNullSafe(F.col("first_tie"))).drop("first_tie")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component; columns stay."""
-    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__k"), F.col("tie").alias("__t")).distinct()
-    first = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__k")) & F.xxhash64("text").eqNullSafe(F.col("__t")), "left_semi")
-    return first.withColumn("__t", F.xxhash64("text")).dropDuplicates(["doc_id", "__t"]).drop("__t")
+    """docs with one row of each component; columns stay, whatever their names."""
+    key, tie, own = fresh(docs, "kept_id", "kept_tie", "text_tie")
+    kept = near_duplicates(docs.select("doc_id", "text"), k, percent).where("kept").select(F.col("doc_id").alias(key), F.col("tie").alias(tie)).distinct()
+    first = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.xxhash64("text").eqNullSafe(F.col(tie)), "left_semi")
+    return first.withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own]).drop(own)

@@ -1,9 +1,12 @@
 """Links between similar sets: banded registers, estimates inside buckets, exact verification, components.
 
 Nodes are distinct sets with a register row each. Band keys travel packed by shard, so only keys that two nodes share
-become rows. Buckets are cut into blocks of bounded size. Round one links each block's likeliest pairs as a forest;
-round two compares, block by block, all pairs whose nodes are still in different components and emits those that the
-estimate can't rule out, once, in the first band they share. Every pair is verified on full sets by the caller.
+become rows; a key that many nodes of one batch share becomes rows at once, and two of its nodes stand for it in the
+shard, so no shard gathers a hot key. Buckets are cut into blocks of bounded size. Round one links each block's likeliest
+pairs as a forest. Round two looks at buckets whose nodes are still in several components: the nodes of the component
+with the most of them (the major) meet the others (the strays), and strays meet each other, block by block; pairs that
+the estimate can't rule out go out once, in the first band they share. Every pair is verified on full sets by the
+caller, and only the texts of nodes in such pairs are fetched.
 """
 
 from __future__ import annotations
@@ -15,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix64, session_of
+from .common import components, cut, drop, mix64, session_of
 
 #: Entries of packed band keys that one shard holds (16 bytes each), and nodes in a block of a bucket.
 SHARD_ENTRIES, BLOCK = 2_000_000, 1000
+#: Entries a task packs at a time, and nodes of a batch from which a key is hot.
+PACKED, HOT = 1_000_000, 16
+#: The shard number of rows that need no shard.
+READY = -1
 
 
 def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -30,20 +37,34 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def _sorted_once(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, node) entries in order."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+    return key[new], node[new]
+
+
 def _packer(bands: int, rows: int, width: int, shards: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_n, count = [], [], 0
 
         def flush():
-            key, node = np.concatenate(held_k), np.concatenate(held_n)
-            shard = (key % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((node, key, shard))
-            key, node, shard = key[order], node[order], shard[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-            key, node, shard = key[new], node[new], shard[new]
+            key, node = _sorted_once(np.concatenate(held_k), np.concatenate(held_n))
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(start, len(key)))
+            nth = np.arange(len(key)) - np.repeat(start, size)
+            hot = np.repeat(size, size) > HOT
+            sent = ~hot | (nth < 2)
+            shard = (key[sent] % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            some_k, some_n, shard = key[sent][order], node[sent][order], shard[order]
             at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
             ends = np.append(at[1:], len(shard))
-            return pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int64()), pa.array([key[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()), pa.array([node[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], ["shard", "keys", "nodes"])
+            ready = hot & (nth >= 2)
+            keys = [some_k[a:b].tobytes() for a, b in zip(at, ends)] + [key[ready].tobytes()]
+            nodes = [some_n[a:b].tobytes() for a, b in zip(at, ends)] + [node[ready].tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array(np.append(shard[at], READY), pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], ["shard", "keys", "nodes"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -52,7 +73,7 @@ def _packer(bands: int, rows: int, width: int, shards: int):
             held_k.append(band_keys(registers, bands, rows).ravel())
             held_n.append(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), bands))
             count += len(held_k[-1])
-            if count > 400_000:
+            if count > PACKED:
                 yield flush()
                 held_k, held_n, count = [], [], 0
         if count:
@@ -61,37 +82,42 @@ def _packer(bands: int, rows: int, width: int, shards: int):
     return pack
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, node = [], []
+def _bucket_rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["bucket", "node"])
+
+
+def _shared_keys(table: pa.Table) -> pa.Table:
+    key = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
+    node = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()])
+    key, node = _sorted_once(key, node)
+    same = key[1:] == key[:-1]
+    many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    return pa.Table.from_batches([_bucket_rows(key[many], node[many])])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key += [np.frombuffer(x, np.uint64) for x in batch.column("keys").to_pylist()]
-        node += [np.frombuffer(x, np.int64) for x in batch.column("nodes").to_pylist()]
-    key, node = np.concatenate(key), np.concatenate(node)
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-    key, node = key[new], node[new]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(start, len(key)))
-    many = np.repeat(size, size) > 1
-    yield pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(node[many]), pa.array(np.repeat(size, size)[many], pa.int64())], ["bucket", "node", "size"])
+        for k, n in zip(batch.column("keys").to_pylist(), batch.column("nodes").to_pylist()):
+            yield _bucket_rows(np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64))
 
 
 def shared_buckets(nodes: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     """nodes: (node, n, sketch), repeats allowed -> (bucket, node, size, n, sketch) of buckets with several nodes."""
     count = nodes.count()
     shards = max(32, count * bands // SHARD_ENTRIES + 1)
-    packed = nodes.select("node", "sketch").mapInArrow(_packer(bands, rows, width, shards), "shard long, keys binary, nodes binary")
-    shared = cut(packed.groupBy("shard").applyInArrow(_per_group(_shared_keys), "bucket long, node long, size long"), "buckets")
-    needed = nodes.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    return cut(shared.join(needed, "node"), "bucket-rows")
-
-
-def _per_group(f):
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(f(iter(table.to_batches()))))
-
-    return run
+    packed = cut(nodes.select("node", "sketch").mapInArrow(_packer(bands, rows, width, shards), "shard long, keys binary, nodes binary"), "band-keys")
+    bucket = "bucket long, node long"
+    met = packed.where(F.col("shard") != READY).groupBy("shard").applyInArrow(_shared_keys, bucket)
+    ready = packed.where(F.col("shard") == READY).mapInArrow(_unpack, bucket)
+    shared = cut(met.unionByName(ready).distinct(), "buckets")
+    drop(packed)
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
+    sized = cut(shared.join(sizes, "bucket"), "sized-buckets")
+    drop(shared)
+    needed = nodes.join(sized.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    out = cut(sized.join(needed, "node"), "bucket-rows")
+    drop(sized)
+    return out
 
 
 # ---- estimates ----------------------------------------------------------------------------------
@@ -116,12 +142,14 @@ def parity_allows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
 def minhash_estimate(threshold: float, width: int) -> Callable:
     """Keeps pairs whose share of equal registers is within 4.5 standard errors of the threshold or above.
 
-    The words after the first `width` are parity bits of the sets.
+    A set of few elements fills few registers itself, so its standard error counts those alone. The words after the
+    first `width` are parity bits of the sets.
     """
-    least = width * threshold - 4.5 * np.sqrt(width * threshold * (1 - threshold))
 
     def keep(a, b, na, nb):
         equal = (a[:, :width] == b[:, :width]).sum(axis=1)
+        own = width * (1 - (1 - 1 / width) ** np.minimum(na, nb))
+        least = width * (threshold - 4.5 * np.sqrt(threshold * (1 - threshold) / own))
         return (equal >= least) & parity_allows(a[:, width:], b[:, width:], na, nb, threshold) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9), equal
 
     return keep
@@ -245,11 +273,11 @@ def _round_one(keep: Callable):
 
 def _round_two(keep: Callable, bands: int, rows_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, ["group", "node", "n", "sketch", "root", "own", "left", "right", "bucket"]):
+        for rows in _grouped(batches, ["group", "node", "n", "sketch", "root", "stray", "own", "left", "right", "bucket"]):
             for i, j in _pair_chunks(rows):
-                ok = rows["root"][i] != rows["root"][j]
-                # a pair inside one block is compared where the group is that block with itself
-                ok &= (rows["left"][i] == rows["right"][i]) | (rows["own"][i] != rows["own"][j])
+                # where strays meet the major, such pairs alone; where strays meet, a pair of one block in that block's own group
+                mixed = rows["left"][i] < 0
+                ok = np.where(mixed, rows["stray"][i] != rows["stray"][j], (rows["root"][i] != rows["root"][j]) & ((rows["left"][i] == rows["right"][i]) | (rows["own"][i] != rows["own"][j])))
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
@@ -266,40 +294,58 @@ def _round_two(keep: Callable, bands: int, rows_: int):
     return run
 
 
+def _mixed_groups(rooted: DataFrame) -> DataFrame:
+    """(bucket, node, n, sketch, root) -> the rows of buckets with several roots, once for each group they are compared in."""
+    per_root = rooted.groupBy("bucket", "root").agg(F.count("*").alias("held"))
+    per_bucket = per_root.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("top"), F.sum("held").alias("size"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda x: F.ceil(x / BLOCK).cast("long")
+    mixed = per_bucket.select("bucket", F.col("top.root").alias("major"), blocks(F.col("top.held")).alias("majors"), blocks(F.col("size") - F.col("top.held")).alias("strays"))
+    rows = rooted.join(mixed, "bucket").withColumn("stray", (F.col("root") != F.col("major")).cast("long"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("stray") == 1, F.col("strays")).otherwise(F.col("majors"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda left, right, name: F.struct(left.alias("left"), right.alias("right"), name.alias("group"))
+    with_major = lambda major, stray: pair(F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.xxhash64("bucket", F.lit("major"), major, stray))
+    with_strays = lambda o: pair(F.least("own", o), F.greatest("own", o), F.xxhash64("bucket", F.lit("strays"), F.least("own", o), F.greatest("own", o)))
+    places = F.when(F.col("stray") == 0, F.transform(upto(F.col("strays")), lambda o: with_major(F.col("own"), o))).otherwise(F.concat(F.transform(upto(F.col("majors")), lambda o: with_major(o, F.col("own"))), F.transform(upto(F.col("strays")), with_strays)))
+    return rows.withColumn("at", F.explode(places)).select("at.group", "node", "n", "sketch", "root", "stray", "own", "at.left", "at.right", "bucket")
+
+
 def linked_components(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], bands: int, rows: int, width: int, keep: Callable, verifier: Callable) -> DataFrame:
     """(node, root) of every node with a verified link.
 
-    texts: a table of nodes -> their (node, text), repeats allowed; verifier: Arrow batches of (a, b, text_a, text_b) -> the (a, b) that are links.
+    nodes: (node, n, sketch), repeats allowed; texts: a table of nodes -> their (node, text), one row a node;
+    verifier: Arrow batches of (a, b, text_a, text_b) -> the (a, b) that are links.
     """
     spark = session_of(nodes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = shared_buckets(nodes, bands, rows, width)
-    needed = cut(buckets.select("node").distinct(), "needed")
-    held = cut(texts(needed).dropDuplicates(["node"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return with_texts(pairs, held).mapInArrow(verifier, "a long, b long")
-
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    placed = buckets.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    group = F.xxhash64("bucket", "own").alias("group")
-    dealt = placed.select(group, "node", "n", "sketch").repartition(parts, "group").sortWithinPartitions("group")
+        """The links among pairs, after their nodes' texts alone are fetched."""
+        wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+        held = cut(texts(wanted), "texts")
+        links = cut(with_texts(pairs, held).mapInArrow(verifier, "a long, b long"), "links")
+        drop(wanted, held)
+        return links
+
+    group = F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK).cast("long"))).alias("group")
+    dealt = buckets.select(group, "node", "n", "sketch").repartition(parts, "group").sortWithinPartitions("group")
     first = cut(dealt.mapInArrow(_round_one(keep), "a long, b long").distinct(), "pairs")
-    links = cut(verify(first), "links")
+    links = verify(first)
     found = components(links)
-
-    rooted = placed.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
-    rest = rooted.join(mixed, "bucket")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    rest = rest.select("bucket", "node", "n", "sketch", "root", "own", other)
-    rest = rest.withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
-    rest = rest.select(F.xxhash64("bucket", "left", "right").alias("group"), "node", "n", "sketch", "root", "own", "left", "right", "bucket")
-    dealt = rest.repartition(parts, "group").sortWithinPartitions("group")
-    second = dealt.mapInArrow(_round_two(keep, bands, rows), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = verify(cut(second, "pairs"))
     stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(stars.unionByName(more.select("a", "b")))
+
+    rooted = buckets.drop("size").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    dealt = _mixed_groups(rooted).repartition(parts, "group").sortWithinPartitions("group")
+    second = cut(dealt.mapInArrow(_round_two(keep, bands, rows), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    drop(buckets, links)
+    if second.isEmpty():
+        drop(first, second)
+        return found
+    more = verify(second)
+    out = components(stars.unionByName(more))
+    drop(first, second, more, found)
+    return out
 
 
 def with_texts(pairs: DataFrame, held: DataFrame) -> DataFrame:
