@@ -30,7 +30,7 @@ SHINGLE, HASHES, BANDS, ROWS = 7, 64, 16, 4
 #: Bits of a line's parity sketch, and of the hashes that tell its distinct shingles apart beside a line's number.
 PARITY_BITS, DISTINCT_BITS = 512, 44
 #: Bytes of text in one slice, pairs that are verified together, and lines a task remembers to have signed.
-SLICE, PAIRS, REMEMBERED = 1 << 19, 256, 200_000
+SLICE, PAIRS, REMEMBERED = 1 << 16, 256, 200_000
 #: Lines that more than this share of all places hold: there are fewer than 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 
@@ -136,7 +136,7 @@ def doubled_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs: (doc_id, text) -> (doc_id, tie, places): the 0-based places of the lines that go; tie is the text's hash."""
     small_batches(session_of(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = cut(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_signer, LINE.format(kind)), "signatures")
+    lines = cut(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_signer, LINE.format(kind)), "signatures", "zstd")
     first = lines.where("sketch is not null")
     found = linked_components(first.select("node", "n", "sketch"), lambda wanted: first.select("node", F.col("norm").alias("text")).join(wanted.hint("merge"), "node").dropDuplicates(["node"]), BANDS, ROWS, HASHES + PARITY_BITS // 16, minhash_estimate(threshold, HASHES), _verifier(threshold))
     # Only the places of linked lines, and of lines that occur more than once, are looked at. Copies are lines equal in

@@ -1,8 +1,8 @@
 """Links between similar sets: banded registers, estimates inside buckets, exact verification, components.
 
 Nodes are distinct sets with a register row each. Band keys travel packed by shard, so only keys that two nodes share
-become rows; a key that many nodes of one batch share becomes rows at once, and two of its nodes stand for it in the
-shard, so no shard gathers a hot key. Buckets are cut into blocks of bounded size. Round one links each block's likeliest
+become rows; a key that many nodes of one batch share is a message of its own, and two of its nodes stand for it in the shard,
+so no shard gathers a hot key. Buckets are cut into blocks of bounded size. Round one links each block's likeliest
 pairs as a forest. Round two looks at buckets whose nodes are still in several components: the nodes of the component
 with the most of them (the major) meet the others (the strays), and strays meet each other, block by block; pairs that
 the estimate can't rule out go out once, in the first band they share. Every pair is verified on full sets by the
@@ -11,10 +11,12 @@ caller, and only the texts of nodes in such pairs are fetched.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,6 @@ from .common import components, cut, drop, mix64, session_of
 SHARD_ENTRIES, BLOCK = 2_000_000, 1000
 #: Entries a task packs at a time, and nodes of a batch from which a key is hot.
 PACKED, HOT = 1_000_000, 16
-#: The shard number of rows that need no shard.
-READY = -1
 
 
 def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -47,7 +47,7 @@ def _sorted_once(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _packer(bands: int, rows: int, width: int, shards: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_n, count = [], [], 0
+        held_k, held_n, count, counter = [], [], 0, itertools.count()
 
         def flush():
             key, node = _sorted_once(np.concatenate(held_k), np.concatenate(held_n))
@@ -61,10 +61,11 @@ def _packer(bands: int, rows: int, width: int, shards: int):
             some_k, some_n, shard = key[sent][order], node[sent][order], shard[order]
             at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
             ends = np.append(at[1:], len(shard))
-            ready = hot & (nth >= 2)
+            ready, count_ = hot & (nth >= 2), next(counter)
             keys = [some_k[a:b].tobytes() for a, b in zip(at, ends)] + [key[ready].tobytes()]
             nodes = [some_n[a:b].tobytes() for a, b in zip(at, ends)] + [node[ready].tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array(np.append(shard[at], READY), pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], ["shard", "keys", "nodes"])
+            own = -1 - (TaskContext.get().partitionId() << 24) - count_  # a shard for this message alone
+            return pa.RecordBatch.from_arrays([pa.array(np.append(shard[at], own), pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], ["shard", "keys", "nodes"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -82,35 +83,25 @@ def _packer(bands: int, rows: int, width: int, shards: int):
     return pack
 
 
-def _bucket_rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["bucket", "node"])
-
-
 def _shared_keys(table: pa.Table) -> pa.Table:
+    """The entries of a shard whose key several nodes have; of a message with a shard of its own, all."""
     key = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
     node = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()])
-    key, node = _sorted_once(key, node)
-    same = key[1:] == key[:-1]
-    many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    return pa.Table.from_batches([_bucket_rows(key[many], node[many])])
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k, n in zip(batch.column("keys").to_pylist(), batch.column("nodes").to_pylist()):
-            yield _bucket_rows(np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64))
+    if table.column("shard")[0].as_py() >= 0:
+        key, node = _sorted_once(key, node)
+        same = key[1:] == key[:-1]
+        many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        key, node = key[many[: len(key)]], node[many[: len(key)]]
+    return pa.table({"bucket": pa.array(key.view(np.int64)), "node": pa.array(node)})
 
 
 def shared_buckets(nodes: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     """nodes: (node, n, sketch), repeats allowed -> (bucket, node, size, n, sketch) of buckets with several nodes."""
     count = nodes.count()
     shards = max(32, count * bands // SHARD_ENTRIES + 1)
-    packed = cut(nodes.select("node", "sketch").mapInArrow(_packer(bands, rows, width, shards), "shard long, keys binary, nodes binary"), "band-keys")
-    bucket = "bucket long, node long"
-    met = packed.where(F.col("shard") != READY).groupBy("shard").applyInArrow(_shared_keys, bucket)
-    ready = packed.where(F.col("shard") == READY).mapInArrow(_unpack, bucket)
-    shared = cut(met.unionByName(ready).distinct(), "buckets")
-    drop(packed)
+    packed = nodes.select("node", "sketch").mapInArrow(_packer(bands, rows, width, shards), "shard long, keys binary, nodes binary")
+    # a node that was packed more than once may stand in a bucket as often
+    shared = cut(packed.groupBy("shard").applyInArrow(_shared_keys, "bucket long, node long").distinct(), "buckets")
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
     sized = cut(shared.join(sizes, "bucket"), "sized-buckets")
     drop(shared)
