@@ -19,15 +19,13 @@ def remainder(doc_id, n: int):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, chars: int, labels_at_most: int = 256) -> list:
-    """About per_label rows of each label with the lowest hashes of (doc_id, text), texts shortened to `chars` characters.
+def bounded_sample(rows: DataFrame, label: str, per_label: int, keys=("doc_id", "text")) -> DataFrame:
+    """About per_label rows of each label, whole: those with the lowest hashes u of the keys; a rarer label has all.
 
-    The driver holds at most labels_at_most * per_label * 1.5 texts; labels beyond the most frequent ones get none.
+    rows: (doc_id, text, label) -> (doc_id, u, text, label). The bound is 1.25 * per_label rows a label on average; every label
+    has its share, whatever their number.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels_at_most).collect()
-    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col(label) == F.lit(r[label])) & (u < min(1.0, 1.25 * per_label / r["count"])))
-    picked = rows.where(chosen).select(F.substring("text", 1, chars).alias("text"), F.col(label).alias("label"), u.alias("u")).collect()
-    return sorted(picked, key=lambda r: (r.u, r.text))
+    counts = rows.groupBy(label).agg(F.count("*").alias("held")).select(F.col(label).alias("of"), "held")
+    u = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.withColumn("u", u).join(counts, F.col(label) == F.col("of")).where(F.col("u") < 1.25 * per_label / F.col("held"))
+    return chosen.select("doc_id", "u", "text", F.col(label).alias("label"))

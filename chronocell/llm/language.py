@@ -7,7 +7,9 @@ over slots in the end, so a batch of texts is scored by one product of its prese
 
 Defined cases: a null text or one without a letter is `und` with score 0; a text whose n-grams no landmark has gets the
 first language at 1 / number of languages; rows that repeat get the same result; with no labelled rows every text is
-`und`; an empty table gives an empty result; whole texts are read, whatever their length.
+`und`; languages that score alike go by their names; other columns stay, but lang_pred and score take the place of
+columns of these names; an empty table gives an empty result; whole texts are read, in training as well, whatever their
+length.
 """
 
 from __future__ import annotations
@@ -67,58 +69,78 @@ class LanguageModel:
     def __init__(self, column: np.ndarray, weights: np.ndarray, names: list[str]):
         self.column, self.weights, self.names = column, weights, names
 
-    def matrix(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        owner, slot, has = presence(texts)
+    def vectors(self, owner: np.ndarray, slot: np.ndarray, texts: int) -> np.ndarray:
+        """Unit presence vectors of some texts over the columns."""
         at = self.column[slot]
-        out = np.zeros((len(texts), self.weights.shape[0]), np.float32)
+        out = np.zeros((texts, self.weights.shape[0]), np.float32)
         out[owner[at >= 0], at[at >= 0]] = 1
-        return out / np.sqrt(np.maximum(1, out.sum(axis=1, keepdims=True))), has
+        return out / np.sqrt(np.maximum(1, out.sum(axis=1, keepdims=True)))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        x, has = self.matrix(texts)
-        f = x @ self.weights
+        owner, slot, has = presence(texts)
+        f = self.vectors(owner, slot, len(texts)) @ self.weights
         e = np.exp(6.0 * (f - f.max(axis=1, keepdims=True)))
         p = e / e.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
         return [self.names[b] if ok else "und" for b, ok in zip(best, has)], np.where(has, p[np.arange(len(best)), best], 0.0).astype(float)
 
 
-def train_language(labelled: DataFrame, sample: int = 3000, landmarks: int = 192, ridge: float = 1.0, chars: int = 4000) -> LanguageModel | None:
-    """labelled: (doc_id, text, lang). Fits on about `sample` rows, as many of each language, `chars` characters of each."""
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, text, label) -> (u, label, slots): the distinct slots of each whole text with a letter, at most SLOTS of them."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            owner, slot, has = presence([t or "" for t in part.column("text").to_pylist()])
+            pairs = np.unique(owner * SLOTS + slot)
+            ends = np.searchsorted(pairs, np.arange(1, part.num_rows + 1) * SLOTS)
+            own = [x.astype(np.int32).tobytes() for x in np.split(pairs % SLOTS, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([part.column("u"), part.column("label"), pa.array(own, pa.binary())], ["u", "label", "slots"]).filter(pa.array(has))
+
+
+def train_language(labelled: DataFrame, sample: int = 3000, landmarks: int = 192, ridge: float = 1.0, least: int = 20) -> LanguageModel | None:
+    """labelled: (doc_id, text, lang). Fits on about `sample` whole texts, as many of each language, but `least` at least.
+
+    The n-gram slots of the texts come to the driver, not the texts: at most SLOTS numbers for each.
+    """
+    small_batches(session_of(labelled))
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     n = max(1, labelled.select("lang").distinct().count())
-    rows = [r for r in bounded_sample(labelled, "lang", max(20, sample // n), chars) if any(c.isalpha() for c in r.text)]
+    found = bounded_sample(labelled, "lang", max(least, sample // n)).select("u", "text", "label").mapInArrow(_slots, "u double, label string, slots binary").collect()
+    rows = [(r.label, np.frombuffer(r.slots, np.int32)) for r in sorted(found, key=lambda r: (r.u, r.label, r.slots))]
     if not rows:
         return None
-    names = sorted({r.label for r in rows})
+    names = sorted({k for k, _ in rows})
     chosen, seen = [], {k: 0 for k in names}
-    for i, r in enumerate(rows):
-        if seen[r.label] < max(4, landmarks // len(names)):
-            seen[r.label] += 1
+    for i, (k, _) in enumerate(rows):
+        if seen[k] < max(4, landmarks // len(names)):
+            seen[k] += 1
             chosen.append(i)
-    owner, slot, _ = presence([rows[i].text for i in chosen])
-    pairs = np.unique(owner * SLOTS + slot)
-    slots, held = np.unique(pairs % SLOTS, return_counts=True)
+    slots, held = np.unique(np.concatenate([rows[i][1] for i in chosen]), return_counts=True)
     slots = slots[held >= min(2, len(chosen))]
     column = np.full(SLOTS, -1, np.int32)
     column[slots] = np.arange(len(slots))
     model = LanguageModel(column, np.zeros((len(slots), 1), np.float32), names)
-    x = np.concatenate([model.matrix([r.text for r in rows[i : i + 200]])[0] for i in range(0, len(rows), 200)])
-    marks = x[chosen]
+
+    def vectors(some: list) -> np.ndarray:
+        return model.vectors(np.repeat(np.arange(len(some)), [len(x) for _, x in some]), np.concatenate([x for _, x in some]), len(some))
+
+    marks = vectors([rows[i] for i in chosen])
     root = inverse_root(marks @ marks.T)
-    features = (x @ marks.T) @ root
-    y = np.array([[1.0 if r.label == k else -1.0 for k in names] for r in rows])
+    features = np.concatenate([vectors(rows[i : i + 200]) @ marks.T for i in range(0, len(rows), 200)]) @ root
+    place = {k: i for i, k in enumerate(names)}
+    y = np.full((len(rows), len(names)), -1.0)
+    y[np.arange(len(rows)), [place[k] for k, _ in rows]] = 1.0
     w = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ y)
     return LanguageModel(column, (marks.T @ (root @ w)).astype(np.float32), names)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs: (key columns..., text) -> the same columns without the text, and lang_pred, score."""
+    """docs: (other columns..., text) -> the same columns without the text, and lang_pred, score in the place of any of these names."""
     spark = session_of(docs)
     small_batches(spark)
+    docs = docs.drop("lang_pred", "score")
     keys = [c for c in docs.columns if c != "text"]
     if model is None:
-        return docs.select(*keys, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*[F.col(f"`{k}`") for k in keys], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast((model.column, model.weights, model.names))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,4 +151,4 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(names, pa.string()), pa.array(p, pa.float64())], [*keys, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(score, f"{fields}, lang_pred string, score double" if fields else "lang_pred string, score double")

@@ -16,7 +16,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.train_toxicity(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    model = toxicity.train_toxicity(docs.where(~F.col("held_out")), labels)
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

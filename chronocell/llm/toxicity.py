@@ -12,8 +12,9 @@ features. Landmarks and SVM weights add up to one weight per subsequence, so who
 passes; a text's score is its worst word's decision value through a logistic curve fitted on the training texts.
 
 Defined cases: a null or empty text, or one without a word of three letters, scores as the mildest word does; with no
-labelled rows of both kinds every score is 0; rows that repeat get the same score; an empty table gives an empty result;
-whole texts are read, whatever their length.
+labelled rows of both kinds every score is 0; rows that repeat get the same score, and so do ties; other columns stay,
+but score takes the place of a column of that name; an empty table gives an empty result; whole texts are read, in
+training as well, whatever their length.
 """
 
 from __future__ import annotations
@@ -180,85 +181,126 @@ def _fit(words: list[bytes], y: np.ndarray, marks: list[bytes], cost: float = 4.
     return beta
 
 
-def train_toxicity(labelled: DataFrame, per_label: int = 3000, landmarks: int = 256, chars: int = 8000, seed: int = 5) -> ToxicityModel | None:
-    """labelled: (doc_id, text, toxic). Fits on about per_label rows of each label, `chars` characters of each."""
-    rows = bounded_sample(labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "text", "toxic"), "toxic", per_label, chars)
-    texts, label = [r.text for r in rows], np.array([r.label for r in rows])
-    if len(set(label.tolist())) < 2:
-        return None
-    # runs of four letters by the number of texts that hold them
-    held = np.zeros((2, CODES), np.int32)
-    spelled: list[tuple[list[bytes], np.ndarray]] = []
-    words_in: list[Counter] = [Counter(), Counter()]
-    for i in range(0, len(texts), 300):
-        part, own = texts[i : i + 300], label[i : i + 300]
-        kind, first, text = stream(part)
-        if not len(first):
-            continue
-        at, code, _ = next(iter(occurrences(kind, first)), (np.zeros(0, int),) * 3)
-        word = np.searchsorted(first, at, side="right") - 1
-        pairs = np.unique(text[word].astype(np.int64) * CODES + code)
-        for k in (0, 1):
-            held[k] += np.bincount((pairs % CODES)[own[pairs // CODES] == k], minlength=CODES).astype(np.int32)
-        for w, t in zip(spell(kind, first), own[text].tolist()):
-            if len(w) >= 3:
-                words_in[t][w] += 1
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, text, label) -> (u, label, words, counts): the distinct words of each whole text and how often each occurs."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            kind, first, text = stream([t or "" for t in part.column("text").to_pylist()])
+            each = [Counter() for _ in range(part.num_rows)]
+            for w, t in zip(spell(kind, first), text.tolist()):
+                each[t][w] += 1
+            words = pa.array([b" ".join(c) for c in each], pa.binary())
+            counts = pa.array([np.array(list(c.values()), np.int32).tobytes() for c in each], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("u"), part.column("label").cast(pa.int32()), words, counts], ["u", "label", "words", "counts"])
+
+
+class _Sample:
+    """Labelled texts as numbers into their common vocabulary."""
+
+    def __init__(self, rows: list):
+        number: dict[bytes, int] = {}
+        self.label = np.array([r.label for r in rows], int)
+        self.ids = [np.array([number.setdefault(w, len(number)) for w in bytes(r.words).split(b" ")], np.int64) if r.words else np.zeros(0, np.int64) for r in rows]
+        self.counts = [np.frombuffer(r.counts, np.int32).astype(np.int64) for r in rows]
+        self.vocabulary = list(number)
+        self.kind, self.first = unspell(self.vocabulary) if number else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+        at, code, _ = next(iter(occurrences(self.kind, self.first)), (np.zeros(0, np.int64),) * 3)
+        word = np.searchsorted(self.first, at, side="right") - 1
+        self.runs = np.split(np.asarray(code, np.int64), np.searchsorted(word, np.arange(1, max(1, len(number)))))  # of four letters, by word
+
+    def values(self, beta: np.ndarray, floor: float, some: np.ndarray) -> np.ndarray:
+        value = word_values(beta, self.kind, self.first)
+        return np.array([max(floor, value[self.ids[i]].max(initial=floor)) for i in some.tolist()])
+
+
+def _learn(sample: _Sample, some: np.ndarray, landmarks: int, seed: int) -> tuple[np.ndarray, float] | None:
+    """The weight of every subsequence and the value of the mildest words, from some of the texts."""
+    label, words, size = sample.label[some], sample.vocabulary, len(sample.vocabulary)
+    held, occurs = np.zeros((2, CODES), np.int32), np.zeros((2, size), np.int64)
+    for i, t in zip(some.tolist(), label.tolist()):
+        if len(ids := sample.ids[i]):
+            held[t][np.unique(np.concatenate([sample.runs[w] for w in ids.tolist()]))] += 1
+            occurs[t][ids] += sample.counts[i]
     n = np.array([(label == 0).sum(), (label == 1).sum()])
     ratio = ((held[1] + 0.5) / (n[1] + 1)) / ((held[0] + 0.5) / (n[0] + 1))
     telling = (ratio >= 6) & (held[1] >= max(3, 0.002 * n[1]))
-    toxic_words, clean_words = words_in[1], list(words_in[0])
-    spelled_toxic = list(toxic_words)
-    if not spelled_toxic or not clean_words:
+    long = np.array([len(w) >= 3 for w in words], bool)
+    in_toxic, in_clean = np.flatnonzero(long & (occurs[1] > 0)), np.flatnonzero(long & (occurs[0] > 0))
+    if not len(in_toxic) or not len(in_clean):
         return None
-    kind, first = unspell(spelled_toxic)
-    at, code, _ = next(iter(occurrences(kind, first)), (np.zeros(0, int),) * 3)
-    points = np.bincount(np.searchsorted(first, at, side="right") - 1, weights=telling[code], minlength=len(spelled_toxic)) if len(at) else np.zeros(len(spelled_toxic))
-    clean_set = words_in[0]
-    positive = [w for w, p in zip(spelled_toxic, points) if p >= 1 and toxic_words[w] > 4 * clean_set.get(w, 0)]
-    positive = sorted(positive, key=lambda w: (-toxic_words[w], w))[:2500]
+    by_weight = sorted(in_toxic.tolist(), key=lambda i: (-occurs[1][i], words[i]))
+    positive = [words[i] for i in by_weight if occurs[1][i] > 4 * occurs[0][i] and telling[sample.runs[i]].any()][:2500]
+    if not positive:
+        positive = [words[i] for i in by_weight if not occurs[0][i]][:200]
     if not positive:
-        positive = sorted((w for w in spelled_toxic if w not in clean_set), key=lambda w: (-toxic_words[w], w))[:200]
+        return None
     rng = np.random.default_rng(seed)
+    clean = sorted(words[i] for i in in_clean.tolist())
 
     def padded(w: bytes) -> bytes:
         i = int(rng.integers(1, max(2, len(w))))
         return w[:i] + bytes([64 + int(rng.integers(1, 27))]) + w[i:]
 
-    negative = [clean_words[i] for i in rng.permutation(len(clean_words))[:6000]]
+    negative = [clean[i] for i in rng.permutation(len(clean))[:6000]]
     more = [padded(w) for w in positive[:1200]]
     marks = positive[: landmarks // 2] + negative[: landmarks // 2]
+    kind, first = unspell(clean)
     for round_ in range(3):
-        words = positive + more + negative
         y = np.array([1.0] * (len(positive) + len(more)) + [-1.0] * len(negative))
-        beta = _fit(words, y, marks)
+        beta = _fit(positive + more + negative, y, marks)
         if round_ < 2:
-            kind, first = unspell(clean_words)
             worst = np.argsort(-word_values(beta, kind, first), kind="stable")[:1500]
             known = set(negative)
-            negative += [clean_words[i] for i in worst if clean_words[i] not in known]
-            marks = marks + [clean_words[i] for i in worst[: landmarks // 4]]
-    kind, first = unspell(clean_words)
-    floor = float(np.quantile(word_values(beta, kind, first), 0.01))
-    values = np.concatenate([text_values(beta, texts[i : i + 300], floor) for i in range(0, len(texts), 300)])
+            negative += [clean[i] for i in worst if clean[i] not in known]
+            marks = marks + [clean[i] for i in worst[: landmarks // 4]]
+    return beta, float(np.quantile(word_values(beta, kind, first), 0.01))
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame | None = None, per_label: int = 3000, landmarks: int = 256, seed: int = 5) -> ToxicityModel | None:
+    """docs: (doc_id, text) with labels: (doc_id, toxic), or docs: (doc_id, text, toxic) alone.
+
+    Fits on about per_label whole texts of each label. The ids are chosen before texts are read, and the words of the
+    chosen texts come to the driver, not the texts. The cut is set by texts that the weights were not learned from: each
+    half of the sample is judged by weights learned from the other half.
+    """
+    small_batches(session_of(docs))
+    if labels is not None:
+        ids = labels.where("toxic in (0, 1)").select("doc_id", "toxic").join(docs.select("doc_id"), "doc_id", "left_semi").distinct()
+        ids = bounded_sample(ids.withColumn("text", F.lit("")), "toxic", per_label, keys=("doc_id",)).select("doc_id", "label", "u")
+        chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")  # as many ids as the sample has
+    else:
+        chosen = bounded_sample(docs.where("toxic in (0, 1) and text is not null").select("doc_id", "text", "toxic"), "toxic", per_label)
+    found = chosen.select("u", "text", "label").mapInArrow(_words, "u double, label int, words binary, counts binary").collect()
+    sample = _Sample(sorted(found, key=lambda r: (r.u, r.label, bytes(r.words))))
+    label, every = sample.label, np.arange(len(sample.label))
+    if len(set(label.tolist())) < 2 or (learned := _learn(sample, every, landmarks, seed)) is None:
+        return None
+    beta, floor = learned
+    values = sample.values(beta, floor, every)
+    halves = [every[every % 2 == i] for i in (0, 1)]
+    parts = [_learn(sample, halves[1 - i], landmarks, seed) if len(set(label[halves[1 - i]].tolist())) == 2 else None for i in (0, 1)]
+    if all(parts):
+        for own, (other, low) in zip(halves, parts):
+            values[own] = sample.values(other, low, own)
     # the cut with the fewest errors, in the middle of its gap; then a fixed steepness over the spread of values
     order = np.argsort(values, kind="stable")
-    rate = np.where(label[order] == 1, 1.0 / n[1], -3.0 / n[0])  # a clean text marked is worse than a toxic one missed
+    rate = np.where(label[order] == 1, 1.0 / (label == 1).sum(), -3.0 / (label == 0).sum())  # a clean text marked is worse than a toxic one missed
     loss = np.concatenate(([0.0], np.cumsum(rate)))
     best = int(np.argmin(loss))
     v = values[order]
-    lower, upper = v[max(0, best - 1)], v[min(best, len(v) - 1)]
-    middle = float((lower + upper) / 2)
+    middle = float((v[max(0, best - 1)] + v[min(best, len(v) - 1)]) / 2)
     spread = float(np.median(values[label == 1]) - np.median(values[label == 0]))
     return ToxicityModel(beta, 8.0 / max(abs(spread), 1e-3), middle, floor)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """docs: (key columns..., text) -> the same columns without the text, and score."""
+    """docs: (other columns..., text) -> the same columns without the text, and score in the place of any of that name."""
     spark = session_of(docs)
     small_batches(spark)
+    docs = docs.drop("score")
     keys = [c for c in docs.columns if c != "text"]
     if model is None:
-        return docs.select(*keys, F.lit(0.0).alias("score"))
+        return docs.select(*[F.col(f"`{k}`") for k in keys], F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast((model.beta, model.slope, model.middle, model.floor))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,5 +310,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
                 p = own.score([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(p, pa.float64())], [*keys, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(score, f"{fields}, score double")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    return docs.mapInArrow(score, f"{fields}score double")
