@@ -11,7 +11,8 @@ BROADCAST_BYTES it is broadcast; a larger one stays in its shards, which answer
 same results.
 
 Defined cases: a null or empty text is its end alone (one token); rows that repeat score alike; with no training rows
-N = V = 0 and every token has probability 1; an empty table gives an empty result; whole texts are read.
+N = V = 0 and every token has probability 1; words whose counts tie share a level; a null doc_id stays null, ids are cast
+to long and other columns are left out; an empty table gives an empty result; whole texts are read, whatever their length.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, mix64, session_of, small_batches, span_hashes
 
-CHUNK_BYTES, SHARD_ENTRIES, BROADCAST_BYTES = 4_000_000, 1_000_000, 256_000_000
+CHUNK_BYTES, SHARD_ENTRIES, BROADCAST_BYTES = 1_500_000, 1_000_000, 256_000_000
 PROBES, BITS_PER_ENTRY, WEIGHT, LEVELS = 4, 8, 0.2, 64
 END = b"\n"
 CHUNK = "chunk long, ids binary, held binary, texts binary, bytes long"
@@ -96,30 +97,41 @@ def _shard_of(h: np.uint64, shards: int) -> int:
     return int((int(h) >> 8) % shards)
 
 
-def _word_sender(shards: int):
+MESSAGE = "what string, chunk long, shard long, keys binary, counts binary"
+
+
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["what", "chunk", "shard", "keys", "counts"])
+
+
+def _packed(what: str, chunk: int, h: np.ndarray, n: np.ndarray, shards: int) -> list[tuple]:
+    return [(what, chunk, _shard_of(h[at[0]], shards), h[at].tobytes(), n[at].astype(np.uint32).tobytes()) for at in _by_shard(h, shards)]
+
+
+def _sender(word_shards: int, bigram_shards: int):
+    """What a chunk tells each shard: all its words with their training counts, and its training texts' bigrams with theirs."""
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 c = Chunk(row)
-                trained = np.bincount(c.tokens[~c.held[c.doc]], minlength=len(c.words))
-                for at in _by_shard(c.hashes, shards):
-                    words = b" ".join([c.words[i] for i in at.tolist()])
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([_shard_of(c.hashes[at[0]], shards)], pa.int64()), pa.array([words], pa.binary()), pa.array([trained[at].astype(np.int64).tobytes()], pa.binary())], ["chunk", "shard", "keys", "counts"])
+                learned = ~c.held[c.doc]
+                trained = np.bincount(c.tokens[learned], minlength=len(c.words))
+                out = [("words", row["chunk"], _shard_of(c.hashes[at[0]], word_shards), b" ".join([c.words[i] for i in at.tolist()]), trained[at].astype(np.int64).tobytes()) for at in _by_shard(c.hashes, word_shards)]
+                yield _messages(out + _packed("bigrams", row["chunk"], *np.unique(c.bigrams()[learned], return_counts=True), bigram_shards))
 
     return run
 
 
-def _bigram_sender(shards: int, trained: bool):
-    """Distinct bigrams of a chunk by shard: of its training texts with counts, or of all its texts."""
+def _asker(bigram_shards: int):
+    """The distinct bigrams of a chunk by shard."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row)
-                h = c.bigrams()
-                h, n = np.unique(h[~c.held[c.doc]] if trained else h, return_counts=True)
-                for at in _by_shard(h, shards):
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([_shard_of(h[at[0]], shards)], pa.int64()), pa.array([h[at].tobytes()], pa.binary()), pa.array([n[at].astype(np.uint32).tobytes()], pa.binary())], ["chunk", "shard", "keys", "counts"])
+                h = np.unique(Chunk(row).bigrams())
+                yield _messages(_packed("asked", row["chunk"], h, np.zeros(len(h), np.uint32), bigram_shards))
 
     return run
 
@@ -184,12 +196,12 @@ def _answer(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["what", "chunk", "shard", "data", "more"])
 
 
-def _add_words(shards: int):
-    """A shard of words: exact counts and levels to each chunk, the shard's filter, and totals."""
-    return lambda table: _add_words_of(table, shards)
+def _add(shards: int):
+    return lambda table: _add_words(table, shards) if table.column("what")[0].as_py() == "words" else _add_bigrams(table)
 
 
-def _add_words_of(table: pa.Table, shards: int) -> pa.Table:
+def _add_words(table: pa.Table, shards: int) -> pa.Table:
+    """A shard of words: exact counts and levels to each chunk, the shard's filter, and totals."""
     shard = table.column("shard")[0].as_py()
     each = [x.split(b" ") for x in table.column("keys").to_pylist()]
     counts = [np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()]
@@ -289,27 +301,25 @@ def score_texts(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Data
     bigram_shards = int(max(24, size // 8 // SHARD_ENTRIES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = chunks.repartition(max(parts, 1)) if chunks.rdd.getNumPartitions() < parts else chunks
-    packed = "chunk long, shard long, keys binary, counts binary"
-    words = cut(few.mapInArrow(_word_sender(word_shards), packed).groupBy("shard").applyInArrow(_add_words(word_shards), ANSWER), "words")
-    pairs = cut(few.mapInArrow(_bigram_sender(bigram_shards, True), packed).groupBy("shard").applyInArrow(_add_bigrams, ANSWER), "bigrams")
-    small = words.where("what = 'words'").select("what", "more").collect() + pairs.select("what", "more").collect()  # one row a shard
+    counted = cut(few.mapInArrow(_sender(word_shards, bigram_shards), MESSAGE).groupBy("what", "shard").applyInArrow(_add(word_shards), ANSWER), "counts")
+    shards = counted.where("what in ('words', 'bigrams')")  # one row a shard
+    small = shards.select("what", "more").collect()
     mean1, mean2 = _means(small, "words"), _means(small, "bigrams")
     n = int(round(mean1[LEVELS]))
     v = int(sum(np.frombuffer(r.more, np.float64).reshape(2, LEVELS)[0].sum() for r in small if r.what == "words"))
-    bytes_of = lambda df, what: df.where(F.col("what") == what).agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
-    total = bytes_of(words, "words") + bytes_of(pairs, "bigrams")
+    total = shards.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
 
-    def load(df, what, shards):
-        return Filter(shards, {r.shard: r.data for r in df.where(F.col("what") == what).select("shard", "data").collect()})
+    def load(what, shards_of):
+        return Filter(shards_of, {r.shard: r.data for r in shards.where(F.col("what") == what).select("shard", "data").collect()})
 
-    counts = words.where("what = 'counts'").groupBy("chunk").agg(F.collect_list(F.struct("shard", "data", "more")).alias("counts"))
+    counts = counted.where("what = 'counts'").groupBy("chunk").agg(F.collect_list(F.struct("shard", "data", "more")).alias("counts"))
     rows = chunks.join(counts, "chunk")
     filters = {}
     if total <= broadcast_bytes:
-        filters = {"words": load(words, "words", word_shards), "bigrams": load(pairs, "bigrams", bigram_shards)}
+        filters = {"words": load("words", word_shards), "bigrams": load("bigrams", bigram_shards)}
     else:
-        asked = few.mapInArrow(_bigram_sender(bigram_shards, False), packed)
-        levels = asked.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(_probe_shard(bigram_shards), ANSWER)
+        asked = few.mapInArrow(_asker(bigram_shards), MESSAGE)
+        levels = asked.groupBy("shard").cogroup(shards.where("what = 'bigrams'").groupBy("shard")).applyInArrow(_probe_shard(bigram_shards), ANSWER)
         rows = rows.join(cut(levels, "levels").groupBy("chunk").agg(F.collect_list(F.struct("shard", "data")).alias("levels")), "chunk")
     model = spark.sparkContext.broadcast(filters)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
