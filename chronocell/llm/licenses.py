@@ -4,10 +4,16 @@ A block is a line of a text with the next lines until those hold as many words a
 may be wrapped; lines without a word don't count. A template is a short license statement. A block meets a template if at least `threshold` of
 the template's distinct words are in the block. Words are ordered by how many documents hold them, rarest first; a
 template's prefix is its first |T| - need + 1 words in that order, so a block without any of them can't meet it.
-Candidates then pass a length and a positional filter, and are verified on whole word sets.
+Candidates then pass a length and a positional filter, and are verified on whole word sets. Of the templates that a block
+meets, one whose shared words are all among another's gives way to it, if that shares more or, sharing as much, lacks less:
+so a statement is not named after its siblings.
 
-Defined cases: a null or empty text has 0 words, no places and no labels; rows that repeat each get their result; an
-empty table gives an empty result; a text's length is not limited.
+Texts are read once: what the join needs of them, the words of lines that templates have and the lines' lengths, is
+written by the pass that finds the phrases.
+
+Defined cases: a null or empty text has 0 words, no places and no labels; rows that repeat each get their result; templates
+that tie at a line are all named; null ids are matched like others and other columns are left out; an empty table gives
+an empty result; a text's length is not limited.
 """
 
 from __future__ import annotations
@@ -43,7 +49,7 @@ TEMPLATES = (
 
 
 def words_col(text):
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(text), F.lit(WORDS), F.lit(0))
 
 
 def literal_words(values):
@@ -82,11 +88,13 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.85)
     """
     spark = session_of(docs)
     vocab = sorted({w for _, t in templates for w in t.split(" ")})
-    # repeated ids keep their own results by the hash of their text
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = rows.select("doc_id", "text", words_col(F.col("text")).alias("words"))
-    kept = words.select("doc_id", F.xxhash64("text").alias("row_hash"), F.size("words").cast("long").alias("n_words"), F.array_intersect("words", literal_words(vocab)).alias("held"), F.flatten(F.array(*[labelled(base_places("words", p), label) for label, p in PHRASES])).alias("places"))
-    kept = cut(kept, "license-words")
+    words = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), words_col).alias("parts"))
+    words = words.withColumn("words", F.flatten("parts"))
+    # of the lines with words: place, number of words, and those words that templates have
+    lines = F.filter(F.transform("parts", lambda x, i: F.struct(i.alias("line"), F.size(x).alias("n"), F.array_intersect(x, literal_words(vocab)).alias("words"))), lambda x: x["n"] > 0)
+    held = F.array_intersect("words", literal_words(vocab)).alias("held")
+    places = F.flatten(F.array(*[labelled(base_places("words", p), label) for label, p in PHRASES])).alias("places")
+    kept = cut(words.select("doc_id", "row_hash", F.size("words").cast("long").alias("n_words"), held, places, F.when(F.size(held) > 0, lines).alias("lines")), "license-words")
 
     # the words of all templates, rarest in the corpus first; there are as many rows as template words
     order = spark.createDataFrame([(w,) for w in vocab], "word string").join(kept.select(F.explode("held").alias("word")).groupBy("word").count(), "word", "left")
@@ -99,33 +107,35 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.85)
         plan += [(i, label, own, len(own), need, pos, w) for pos, w in enumerate(own[: len(own) - need + 1], 1)]
     prefix = spark.createDataFrame(plan, "template int, label string, own array<string>, size int, need int, pos int, word string")
     rare = sorted({p[-1] for p in plan})
-
-    lines = rows.join(kept.where(F.arrays_overlap("held", literal_words(rare))).select(F.col("doc_id").alias("k"), F.col("row_hash").alias("h")).distinct(), F.col("doc_id").eqNullSafe(F.col("k")) & (F.xxhash64("text") == F.col("h")), "left_semi")
     longest = max((len(t.split(" ")) for _, t in templates), default=0)
     rare_words = literal_words(rare)
-    # (line, words) of the lines with words; a block is built where one of its lines may hold a rare word
-    lines = lines.select("doc_id", F.xxhash64("text").alias("row_hash"), F.split("text", "\\n", -1).alias("parts")).dropDuplicates(["doc_id", "row_hash"])
-    lines = lines.withColumn("lines", F.transform("parts", lambda x, i: F.struct(i.alias("line"), words_col(x).alias("words")))).select("doc_id", "row_hash", F.filter("lines", lambda x: F.size(x["words"]) > 0).alias("lines"))
+
+    # a block is built where one of its lines may hold a rare word
+    lines = kept.where(F.arrays_overlap("held", rare_words)).select("doc_id", "row_hash", "lines").dropDuplicates(["doc_id", "row_hash"])
     lines = lines.withColumn("rare", F.transform("lines", lambda x: F.arrays_overlap(x["words"], rare_words)))
     none = F.expr("cast(array() as array<string>)")
 
     def rest_of(i):
         start = F.struct(none.alias("words"), F.lit(0).alias("n"))
-        return F.aggregate(F.slice("lines", i + 2, longest), start, lambda acc, x: F.when(acc["n"] < longest, F.struct(F.concat(acc["words"], x["words"]).alias("words"), (acc["n"] + F.size(x["words"])).alias("n"))).otherwise(acc), lambda acc: acc["words"])
+        return F.aggregate(F.slice("lines", i + 2, longest), start, lambda acc, x: F.when(acc["n"] < longest, F.struct(F.concat(acc["words"], x["words"]).alias("words"), (acc["n"] + x["n"]).alias("n"))).otherwise(acc), lambda acc: acc["words"])
 
     starts = F.filter(F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.exists(F.slice("rare", i + 1, longest + 1), lambda x: x))
     runs = lines.select("doc_id", "row_hash", F.explode(F.transform(starts, lambda i: F.struct(F.get(F.col("lines"), i)["line"].alias("line"), F.get(F.col("lines"), i)["words"].alias("own"), rest_of(i).alias("rest")))).alias("run"))
-    runs = runs.select("doc_id", "row_hash", "run.line", F.array_distinct("run.own").alias("alone"), F.array_distinct("run.rest").alias("rest"))
-    blocks = runs.withColumn("block", F.array_union("alone", "rest"))
-    blocks = blocks.withColumn("ordered", F.array_intersect(literal_words(ranked), F.col("block")))  # the block's words in the global order
-    hits = blocks.withColumn("word", F.explode(F.array_intersect("ordered", literal_words(rare)))).join(F.broadcast(prefix), "word")
+    runs = runs.select("doc_id", "row_hash", "run.line", F.col("run.own").alias("alone"), F.array_distinct("run.rest").alias("rest"))
+    blocks = runs.withColumn("ordered", F.array_intersect(literal_words(ranked), F.array_union("alone", "rest")))  # the block's words in the global order
+    hits = blocks.withColumn("word", F.explode(F.array_intersect("ordered", literal_words(rare)))).join(prefix, "word")
     bound = 1 + F.least(F.col("size") - F.col("pos"), F.size("ordered") - F.array_position("ordered", F.col("word")))
-    hits = hits.where((F.size("block") >= F.col("need")) & (F.size("ordered") >= F.col("need")))
+    hits = hits.where(F.size("ordered") >= F.col("need"))
     first = Window.partitionBy("doc_id", "row_hash", "line", "template").orderBy("pos")
-    hits = hits.withColumn("n", F.row_number().over(first)).where("n = 1").where(bound >= F.col("need"))  # what stands before the first shared word is not shared
-    hits = hits.withColumn("shared", F.size(F.array_intersect("ordered", "own"))).where("shared >= need")
-    hits = hits.where((F.size(F.array_intersect("alone", "own")) >= F.col("need")) | (F.size(F.array_intersect("rest", "own")) < F.col("shared")))
-    found = hits.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set(F.struct("line", "label", (F.col("shared") / F.col("size")).alias("containment")))).alias("blocks"))
+    hits = hits.withColumn("nth", F.row_number().over(first)).where("nth = 1").where(bound >= F.col("need"))  # what stands before the first shared word is not shared
+    hits = hits.withColumn("shared", F.array_intersect("ordered", "own")).where("size(shared) >= need")
+    hits = hits.where((F.size(F.array_intersect("alone", "own")) >= F.col("need")) | (F.size(F.array_intersect("rest", "own")) < F.size("shared")))
+    met = hits.groupBy("doc_id", "row_hash", "line").agg(F.collect_list(F.struct("label", "shared", (F.size("shared") / F.col("size")).alias("containment"))).alias("met"))
+    within = lambda x, y: F.size(F.array_except(x["shared"], y["shared"])) == 0
+    better = lambda x, y: within(x, y) & ((F.size(y["shared"]) > F.size(x["shared"])) | (y["containment"] > x["containment"]))
+    met = met.withColumn("met", F.filter("met", lambda x: ~F.exists("met", lambda y: better(x, y))))
+    met = met.select("doc_id", "row_hash", F.transform("met", lambda x: F.struct(F.col("line").alias("line"), x["label"].alias("label"), x["containment"].alias("containment"))).alias("met"))
+    found = met.groupBy("doc_id", "row_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))).alias("blocks"))
 
     found = found.withColumnsRenamed({"doc_id": "k", "row_hash": "h"})
     out = kept.join(found, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("row_hash") == F.col("h")), "left")
