@@ -59,7 +59,10 @@ def op9_spectrum_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.findings_per_document(documents(spark, sf_dir).select("doc_id", "text"))
+    """Documents come in two pushes, so the second meets blobs that the ledger has."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    return secrets.scan_history([docs.where(~second), docs.where(second)], secrets.SecretLedger(spark))
 
 
 QUERIES = {f.__name__: f for f in (op1_subsequence_toxicity, op2_bloom_lm_score, op3_pareto_mix, op4_fuzzy_lines, op5_setsketch_neardup, op6_template_decontamination, op7_merkle_fingerprints, op8_license_scan, op9_spectrum_language, op10_secret_ledger)}
