@@ -1,12 +1,14 @@
-"""Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame operations only.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and runs of words, in DataFrame operations only.
 
-A section ends at an empty line, a paragraph at a line's end; runs of four words inside a paragraph are the leaves by
-which edits are located and likeness is measured. Paragraph hashes cover the raw text, so equal roots mean equal texts.
-A fingerprint is "root:sections:leaves", the latter two as lists of shortened hashes.
+A section ends at an empty line, a paragraph at a line's end. A paragraph is cut into runs of four words with the spaces
+around them; the hashes of these runs are the tree's leaves, and every other node hashes its children. So equal roots
+mean equal texts, and where roots differ, branches are matched by hash: an edit lies in the sections that the other tree
+lacks, and there in the paragraphs that it lacks, wherever they stand. A fingerprint is "root:sections:paragraphs:leaves",
+the last three as shortened hashes, paragraphs apart by section. Likeness is the share of leaves in matched branches.
 
 Defined cases: a null text is the empty text; the empty text has a root, one section and no leaves; two texts without
-leaves are alike (1) only if equal, else 0; rows that repeat are ordered by their text's hash; null ids come last; an
-empty table gives an empty result; a text's length is not limited.
+leaves are alike (1) only if equal, else 0; rows that repeat, or tie in doc_id, are ordered by their text's hash; null ids
+come last; other columns are left out; an empty table gives an empty result; a text's length is not limited.
 """
 
 from __future__ import annotations
@@ -14,36 +16,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = r"\S+(?:[ \t]+\S+){0,3}"
+#: Up to four words with the spaces around them, or spaces alone: the runs of a paragraph put together are the paragraph.
+BLANK, INK = r"[\x20\x09\x0B-\x0D]", r"[^\x20\x09-\x0D]"
+LEAF = rf"{BLANK}*(?:{INK}+{BLANK}*){{1,4}}|{BLANK}+"
 #: Texts of about this many characters share a range of ids; there are at most MOST_RANGES ranges.
 RANGE_CHARS, MOST_RANGES = 4_000_000, 4096
 
 
 def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds name_root, name_sections (full hashes) and name_leaves (shortened hashes) of the column text."""
-    paragraph = lambda p: F.sha2(F.concat(F.lit("p"), p), 256)
-    section = lambda s: F.sha2(F.concat(F.lit("s"), F.array_join(F.transform(F.split(s, "\n", -1), paragraph), "")), 256)
-    leaves = F.transform(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)), lambda x: F.substring(F.sha2(x, 256), 1, 8))
-    df = df.withColumns({f"{name}_sections": F.transform(F.split(text, "\n\n", -1), section), f"{name}_leaves": leaves})
-    return df.withColumn(f"{name}_root", F.sha2(F.concat(F.lit("r"), F.array_join(f"{name}_sections", "")), 256))
+    """Adds name_root, name_sections, name_paragraphs (by section) and name_leaves (shortened) of the column text."""
+    node = lambda kind, children: F.sha2(F.concat(F.lit(kind), F.array_join(children, "")), 256)
+    leaf = lambda x: F.substring(F.sha2(F.concat(F.lit("l"), x), 256), 1, 32)
+    runs = F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), leaf)))
+    df = df.withColumn(f"{name}_runs", runs)
+    df = df.withColumn(f"{name}_paragraphs", F.transform(f"{name}_runs", lambda s: F.transform(s, lambda p: node("p", p))))
+    df = df.withColumn(f"{name}_sections", F.transform(f"{name}_paragraphs", lambda s: node("s", s)))
+    df = df.withColumn(f"{name}_leaves", F.transform(F.flatten(F.flatten(f"{name}_runs")), lambda x: F.substring(x, 1, 8)))
+    return df.withColumn(f"{name}_root", node("r", F.col(f"{name}_sections"))).drop(f"{name}_runs")
 
 
 def as_string(name: str):
-    short = F.transform(f"{name}_sections", lambda s: F.substring(s, 1, 16))
-    return F.concat_ws(":", F.col(f"{name}_root"), F.array_join(short, "."), F.array_join(f"{name}_leaves", ""))
+    sections = F.transform(f"{name}_sections", lambda s: F.substring(s, 1, 16))
+    paragraphs = F.transform(f"{name}_paragraphs", lambda s: F.array_join(F.transform(s, lambda p: F.substring(p, 1, 8)), ""))
+    return F.concat_ws(":", F.col(f"{name}_root"), F.array_join(sections, "."), F.array_join(paragraphs, "."), F.array_join(f"{name}_leaves", ""))
 
 
 def likeness(a: str, b: str):
-    """1 for equal roots, else the Dice overlap of the distinct leaves, below 1."""
+    """1 for equal roots, else the Dice overlap of the distinct leaves, below 1; leaves of branches in both trees are in both."""
     x, y = F.array_distinct(f"{a}_leaves"), F.array_distinct(f"{b}_leaves")
     both, size = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
     return F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), 1.0).when(size == 0, 0.0).otherwise(F.least(2.0 * both / size, F.lit(0.999999)))
 
 
-def edits(a: str, b: str):
-    """Which sections of tree a differ from the section at the same place in tree b (0-based places)."""
-    x, y = F.col(f"{a}_sections"), F.col(f"{b}_sections")
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1), lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i)))
+def edits(a: str, b: str) -> dict:
+    """The branches of tree a that tree b lacks: changed_sections ("section", from 0) and changed_paragraphs ("section.paragraph")."""
+    gone = F.array_except(f"{a}_sections", f"{b}_sections")
+    lost = F.array_except(F.flatten(f"{a}_paragraphs"), F.flatten(f"{b}_paragraphs"))
+    text = lambda i: i.cast("string")
+    sections = F.filter(F.transform(f"{a}_sections", lambda s, i: F.when(F.array_contains(gone, s), text(i))), lambda x: x.isNotNull())
+    at = lambda i: F.filter(F.transform(F.get(F.col(f"{a}_paragraphs"), i), lambda p, j: F.when(F.array_contains(lost, p), F.concat_ws(".", text(i), text(j)))), lambda x: x.isNotNull())
+    none = F.expr("cast(array() as array<string>)")
+    paragraphs = F.flatten(F.transform(f"{a}_sections", lambda s, i: F.when(F.array_contains(gone, s), at(i)).otherwise(none)))
+    equal = F.col(f"{a}_root") == F.col(f"{b}_root")
+    return {"changed_sections": F.when(equal, "").otherwise(F.array_join(sections, ",")), "changed_paragraphs": F.when(equal, "").otherwise(F.array_join(paragraphs, ","))}
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -88,4 +103,4 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n, half = F.length("text").cast("long"), F.floor(F.length("text") / 2).cast("int")
     both = both.select("doc_id", "text", "next_text", n.alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
     out = with_tree(with_tree(with_tree(both, "text", "own"), "edited", "new"), "next_text", "next")
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string("own").alias("fingerprint"), as_string("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"), edits("own", "new").alias("changed_sections"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string("own").alias("fingerprint"), as_string("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"), *[x.alias(k) for k, x in edits("own", "new").items()])
