@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .config import GridConfig
+from .config import GridConfig, PageConfig
 from .functions import codecs, grid
+from .grid import Grid
 from .operators import aggregates
 from .operators.mvcc import latest_version
 from .plans import pages, stats
 from .schema import epoch_ms, samples
 from .sources import generators, store
+from .sources.cache import ResultCache
+from .sources.scratch import new_path
 
 CONFIG = GridConfig()
 W, HOUR = CONFIG.time_width, 3_600_000
@@ -68,37 +71,67 @@ def latest_within(df: DataFrame) -> DataFrame:
     return latest_version(store.within(df, TAGS, START, END)).select(*CORE)
 
 
+FOREVER = 1 << 43  # ms, beyond all samples
+_BASES: dict[tuple[str, str, str], str] = {}
+
+
+def base_of(spark, sf: str, name: str, make) -> str:
+    """A grid with make(spark, sf), whose rows keep their insert times; written once a session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _BASES:
+        base = new_path(spark, f"grid-{name}")
+        store.store(make(spark, sf).withColumn("ingest_seq", F.col("insert_time")), base, config=CONFIG, stamped=True)
+        _BASES[key] = base
+    return _BASES[key]
+
+
+def raw_grid(spark, sf) -> Grid:
+    return Grid(spark, base_of(spark, sf, "raw", v_raw))
+
+
+def dup_grid(spark, sf) -> Grid:
+    return Grid(spark, base_of(spark, sf, "dup", v_dup))
+
+
+def all_tags(spark, sf) -> DataFrame:
+    return events(spark, sf).select(F.col("user_id").alias("tag_id")).distinct()
+
+
 # ---- scans --------------------------------------------------------------------------------------
 
 
 @query(f"WITH v AS ({RAW}) SELECT * FROM v WHERE {IN_TAGS} AND {IN_TIME} {LATEST}")
 def scan_range(spark, sf):
-    return latest_within(v_raw(spark, sf))
+    return raw_grid(spark, sf).scan(TAGS, START, END).select(*CORE)
 
 
 @query(f"WITH v AS ({RAW}) SELECT *, row_number() OVER (ORDER BY CAST(tag_id AS VARCHAR), sample_time, insert_time) AS place FROM v WHERE {IN_TAGS} AND {IN_TIME}")
 def scan_ordered(spark, sf):
-    found = store.within(v_raw(spark, sf), TAGS, START, END).select(*CORE)
-    order = [F.col("tag_id").cast("string"), F.col("sample_time"), F.col("insert_time")]
-    # the place of a row among all: its place in its tag plus the rows of the tags before
+    found = raw_grid(spark, sf).scan(TAGS, START, END, ordered=True).select(*CORE)
+    # the place of a row among all: its place in its tag plus the rows of the tags before, of which there are as many as asked for
     own = found.withColumn("nth", F.row_number().over(Window.partitionBy("tag_id").orderBy("sample_time", "insert_time")))
     per_tag = found.groupBy("tag_id").count().select("tag_id", (F.sum("count").over(Window.orderBy(F.col("tag_id").cast("string"))) - F.col("count")).alias("before"))
-    return own.join(F.broadcast(per_tag), "tag_id").select(*CORE, (F.col("nth") + F.col("before")).cast("long").alias("place")).orderBy(*order)
+    return own.join(per_tag, "tag_id").select(*CORE, (F.col("nth") + F.col("before")).cast("long").alias("place"))
 
 
 @query(f"WITH v AS ({RAW}) SELECT * FROM v WHERE tag_id IN (999999999) AND {IN_TIME}")
 def scan_missing_tag(spark, sf):
-    return store.within(v_raw(spark, sf), [999_999_999], START, END).select(*CORE)
+    return raw_grid(spark, sf).scan([999_999_999], START, END).select(*CORE)
 
 
 @query(f"WITH v AS ({RAW}) SELECT * FROM v WHERE tag_id < 1200 AND {IN_TIME}")
 def scan_many_tags(spark, sf):
-    return store.within(v_raw(spark, sf), list(range(1200)), START, END).select(*CORE)
+    return raw_grid(spark, sf).scan(list(range(1200)), START, END).select(*CORE)
+
+
+@query(f"WITH v AS ({RAW}) SELECT * FROM v WHERE tag_id % 3 = 1 AND {IN_TIME}")
+def scan_tag_table(spark, sf):
+    return raw_grid(spark, sf).scan(all_tags(spark, sf).where("tag_id % 3 = 1"), START, END).select(*CORE)
 
 
 @query(f"WITH v AS ({RAW}) SELECT * FROM v WHERE tag_id IN (7) AND {IN_TIME}")
 def filter_tags(spark, sf):
-    return store.within(v_raw(spark, sf), [7, 7], START, END).select(*CORE)
+    return raw_grid(spark, sf).scan([7, 7], START, END).select(*CORE)
 
 
 @query(f"WITH v AS ({RAW}) SELECT * FROM v WHERE {IN_TIME} ORDER BY sample_time, insert_time LIMIT 20")
@@ -108,9 +141,66 @@ def scan_limit(spark, sf):
 
 @query(f"WITH v AS (SELECT * FROM ({DUP}) UNION ALL SELECT tag_id, sample_time, insert_time + 1000000000, n_value + 1, o_value FROM ({DUP}) WHERE insert_time % 3 = 0) SELECT * FROM v {LATEST}")
 def multi_shard_scan(spark, sf):
-    one = v_dup(spark, sf)
-    two = one.where("insert_time % 3 = 0").withColumns({"insert_time": F.col("insert_time") + 1_000_000_000, "n_value": F.col("n_value") + 1})
-    return latest_version(one.unionByName(two)).select(*CORE)
+    later = lambda spark, sf: v_dup(spark, sf).where("insert_time % 3 = 0").withColumns({"insert_time": F.col("insert_time") + 1_000_000_000, "n_value": F.col("n_value") + 1})
+    shards = [base_of(spark, sf, "dup", v_dup), base_of(spark, sf, "later", later)]
+    return Grid(spark, shards).scan(all_tags(spark, sf), 0, FOREVER).select(*CORE)
+
+
+@query(f"WITH v AS ({RAW}), c AS (SELECT {CELLS} FROM v), live AS (SELECT tag_bucket, time_bucket FROM c GROUP BY 1, 2 HAVING 5000 - min(insert_time) <= 4000) SELECT tag_id, sample_time, insert_time, n_value, o_value FROM c SEMI JOIN live USING (tag_bucket, time_bucket) WHERE {IN_TAGS}")
+def scan_ttl(spark, sf):
+    return raw_grid(spark, sf).scan(TAGS, 0, FOREVER, now=5000, ttl=4000).select(*CORE)
+
+
+@query(f"WITH v AS ({DUP}) SELECT * FROM v WHERE insert_time <= 5000 {LATEST}")
+def scan_as_of(spark, sf):
+    return dup_grid(spark, sf).scan(all_tags(spark, sf), 0, FOREVER, as_of=5000).select(*CORE)
+
+
+STEP_TIME, STEP_TAGS, STEP_ROWS = 1 << 26, 64, 50
+STEPS = f"tag_id - tag_id % {STEP_TAGS}, (sample_time - {START}) // {STEP_TIME}, CAST(tag_id AS VARCHAR), sample_time"
+
+
+@query(f"WITH v AS ({RAW}), r AS (SELECT *, row_number() OVER (ORDER BY {STEPS}) - 1 AS place FROM v WHERE {IN_TAGS} AND {IN_TIME} {LATEST}) SELECT tag_id, sample_time, n_value, place // {STEP_ROWS} AS page FROM r")
+def iterate_pages(spark, sf):
+    """Pages as a caller meets them: of one distributed read in the order of the steps."""
+    found = raw_grid(spark, sf).read(TAGS, START, END, pages=PageConfig(STEP_TIME, STEP_TAGS, STEP_ROWS))
+    rows = [(r.tag_id, r.sample_time, r.n_value, i) for i, page in enumerate(found) for r in page]
+    return spark.createDataFrame(rows, "tag_id long, sample_time long, n_value double, page long")
+
+
+SOON = START + 4 * W
+
+
+@query(f"WITH v AS ({RAW}) SELECT tag_id, count(*) AS samples, min(sample_time) AS first_time, max(sample_time) AS last_time FROM (SELECT * FROM v WHERE {IN_TAGS} AND sample_time >= {START} AND sample_time < {SOON} {LATEST}) WHERE n_value > 50 GROUP BY 1")
+def iterate_fold(spark, sf):
+    """A page map and a fold over the steps of a director that goes from the last one to the first."""
+
+    def backwards(times, tags, time, own):
+        order = [(t, g) for g in reversed(tags) for t in reversed(times)]
+        nth = order.index((time, own)) + 1 if own else 0
+        return order[nth] if nth < len(order) else None
+
+    def step(first, last, page, seen):
+        for r in page or []:
+            n, low, high = seen.get(r.tag_id, (0, r.sample_time, r.sample_time))
+            seen[r.tag_id] = (n + 1, min(low, r.sample_time), max(high, r.sample_time))
+        return (sorted((t, *x) for t, x in seen.items()) if last else None), seen
+
+    found = list(raw_grid(spark, sf).read(TAGS, START, SOON, page_map=lambda p: p[p.n_value > 50], fold=step, accumulator={}, pages=PageConfig(W, 64, 50), director=backwards))
+    return spark.createDataFrame(found[-1], "tag_id long, samples long, first_time long, last_time long")
+
+
+@query(f"WITH v AS ({RAW}) SELECT * FROM v WHERE {IN_TAGS} AND {IN_TIME} {LATEST}")
+def cached_read(spark, sf):
+    """The second of two equal reads, which the cache answers."""
+    own = raw_grid(spark, sf)
+    own.cache = ResultCache(spark, new_path(spark, "cache"))
+    for _ in range(2):
+        report: dict = {}
+        found = own.table(TAGS, START, END, use_cache=True, report=report)
+    if not report["cache_hit"]:
+        raise RuntimeError("the cache did not answer")
+    return found.select(*CORE)
 
 
 # ---- versions and writes ------------------------------------------------------------------------
@@ -128,16 +218,21 @@ def mvcc_orders(spark, sf):
 
 @query(f"WITH v AS ({DUP}) SELECT tag_id, sample_time, CAST({LATE} AS BIGINT) AS insert_time, n_value, o_value FROM v {LATEST}")
 def store_roundtrip(spark, sf):
-    import uuid
+    own = Grid(spark, new_path(spark, "grid"), CONFIG)
+    own.store(v_dup(spark, sf).withColumn("ingest_seq", F.col("insert_time")), LATE)
+    return own.scan(all_tags(spark, sf), 0, FOREVER).select(*CORE)
 
-    from .sources.store import read_bases
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    base = f"{root.rstrip('/')}/grid-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    store.store(v_dup(spark, sf).withColumn("ingest_seq", F.col("insert_time")), base, LATE)
-    return latest_version(read_bases(spark, [base])).select(*CORE)
+@query(f"WITH v AS ({DUP}) SELECT tag_id, sample_time, CAST({LATE} AS BIGINT) AS insert_time, n_value, o_value FROM v {LATEST}")
+def compacted_read(spark, sf):
+    own = Grid(spark, new_path(spark, "grid"), CONFIG)
+    own.store(v_dup(spark, sf).withColumn("ingest_seq", F.col("insert_time")), LATE)
+    return own.compact(new_path(spark, "compact")).scan(all_tags(spark, sf), 0, FOREVER).select(*CORE)
+
+
+@query(f"WITH v AS (SELECT tag_id - tag_id % 512 AS tag_bucket, CAST({LATE - LATE % W} AS BIGINT) AS time_bucket FROM ({RAW})), p AS (SELECT {PATH} AS path, count(*) AS samples FROM v GROUP BY 1) SELECT path, samples, {DJB.format('path')} % 10 AS worker FROM p")
+def store_diagnostics(spark, sf):
+    return raw_grid(spark, sf).diagnose_store(v_raw(spark, sf), LATE)
 
 
 @query(f"WITH v AS (SELECT tag_id - tag_id % 512 AS tag_bucket, CAST({LATE - LATE % W} AS BIGINT) AS time_bucket FROM ({ORD})), p AS (SELECT {PATH} AS path, count(*) AS samples FROM v GROUP BY 1) SELECT path, samples, {DJB.format('path')} % 10 AS worker FROM p")
@@ -310,8 +405,8 @@ def lambda_filter(spark, sf):
 
 @query(f"WITH v AS (SELECT * FROM ({DUP}) {LATEST}), n AS (SELECT tag_id, (row_number() OVER (PARTITION BY tag_id ORDER BY sample_time) - 1) // 10 AS page, sample_time FROM v) SELECT tag_id, page, count(*) AS samples, min(sample_time) AS first_time, max(sample_time) AS last_time FROM n GROUP BY 1, 2")
 def lambda_per_page(spark, sf):
-    numbered = aggregates.numbered_pages(_plain(spark, sf), ["tag_id"], ["sample_time"], 10)
-    return numbered.groupBy("tag_id", "page").agg(F.count("*").alias("samples"), F.min("sample_time").alias("first_time"), F.max("sample_time").alias("last_time"))
+    one = lambda p: p.groupby(["tag_id", "page"], as_index=False).agg(samples=("sample_time", "size"), first_time=("sample_time", "min"), last_time=("sample_time", "max"))
+    return aggregates.map_numbered(_plain(spark, sf), ["tag_id"], ["sample_time"], 10, one, "tag_id long, page long, samples long, first_time long, last_time long")
 
 
 @query(f"WITH v AS (SELECT * FROM ({DUP}) {LATEST}) SELECT tag_id, count(*) AS samples FROM v WHERE n_value > 50 GROUP BY 1")
@@ -359,22 +454,25 @@ def latest(spark, sf):
 
 @query(f"WITH v AS ({DUP}) SELECT * FROM v {LATEST}")
 def raw(spark, sf):
-    return latest_version(v_dup(spark, sf)).select(*CORE)
+    return dup_grid(spark, sf).scan(all_tags(spark, sf), 0, FOREVER).select(*CORE)
+
+
+# sums of doubles differ in their last digits by the order of rows, so both sides are rounded far below the values' own digits
 
 
-@query(f"WITH v AS (SELECT * FROM ({DUP}) {LATEST}) SELECT tag_id, CAST(sum(CAST(n_value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM v GROUP BY 1")
+@query(f"WITH v AS (SELECT * FROM ({DUP}) {LATEST}) SELECT tag_id, round(sum(n_value), 6) AS total FROM v GROUP BY 1")
 def sum_total(spark, sf):
-    return aggregates.sum_per_tag(latest_version(v_dup(spark, sf)))
+    return aggregates.sum_per_tag(latest_version(v_dup(spark, sf))).withColumn("total", F.round("total", 6))
 
 
-@query(f"WITH v AS (SELECT * FROM ({DUP}) {LATEST}) SELECT tag_id, sample_time - sample_time % 86400000 AS day_ms, CAST(sum(CAST(n_value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM v GROUP BY 1, 2")
+@query(f"WITH v AS (SELECT * FROM ({DUP}) {LATEST}) SELECT tag_id, sample_time - sample_time % 86400000 AS day_ms, round(sum(n_value), 6) AS total FROM v GROUP BY 1, 2")
 def sum_daily(spark, sf):
-    return aggregates.sum_daily(latest_version(v_dup(spark, sf)))
+    return aggregates.sum_daily(latest_version(v_dup(spark, sf))).withColumn("total", F.round("total", 6))
 
 
-@query(f"WITH v AS (SELECT * FROM ({RAW}) {LATEST}) SELECT tag_id, sample_time - sample_time % 1800000 AS window_ms, CAST(sum(CAST(n_value AS DECIMAL(18,2))) AS DOUBLE) / count(n_value) AS mean FROM v GROUP BY 1, 2")
+@query(f"WITH v AS (SELECT * FROM ({RAW}) {LATEST}) SELECT tag_id, sample_time - sample_time % 1800000 AS window_ms, round(avg(n_value), 6) AS mean FROM v GROUP BY 1, 2")
 def avg_window_1800(spark, sf):
-    return aggregates.avg_window(latest_version(v_raw(spark, sf)), 1800)
+    return aggregates.avg_window(latest_version(v_raw(spark, sf)), 1800).withColumn("mean", F.round("mean", 6))
 
 
 # ---- generators ---------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ def power_of_two(name: str, value: int, least: int = 1) -> int:
 class GridConfig:
     """tag_width and time_width (ms) of a cell; tolerance in cells; disks of one shard set."""
 
+    # fixed values: with these defaults, cells, paths and workers are those of other writers of such grids
     tag_width: int = 1 << 9
     time_width: int = 1 << 26
     prefix: str = "l"

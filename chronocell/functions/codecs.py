@@ -26,9 +26,9 @@ def md5_words(s: Column) -> Column:
 
 
 def tag_split(s: Column) -> Column:
-    """The number after `Tag` (null if there is none), else the DJB2 hash."""
+    """The number after `Tag` (null if there is none, or none that fits 64 bits), else the DJB2 hash."""
     number = F.regexp_extract(s, r"^Tag\s*([+-]?\d+)", 1)
-    return F.when(s.startswith("Tag"), F.when(number != "", number).cast("long")).otherwise(djb2(s))
+    return F.when(s.startswith("Tag"), number.try_cast("long")).otherwise(djb2(s))
 
 
 def code_points(s: Column) -> Column:
@@ -59,6 +59,7 @@ def long_bigint(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+#: The codecs by name, for callers that take one as a setting.
 STRING_TO_NUMBER = {"MD5": md5_words, "DJB2": djb2, "StringSplit": tag_split}
 STRING_TO_BIGINT = {"UnicodeToUint32Array": code_points, "StringToBigint": long_bigint}
 

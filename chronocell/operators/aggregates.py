@@ -30,6 +30,11 @@ def numbered_pages(df: DataFrame, keys: list[str], order: list[str], rows_per_pa
     return df.withColumn("page", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / rows_per_page).cast("long"))
 
 
+def map_numbered(df: DataFrame, keys: list[str], order: list[str], rows_per_page: int, page_map: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """page_map over pages cut inside each key: a page is one group of at most rows_per_page rows, with its number as page."""
+    return numbered_pages(df, keys, order, rows_per_page).groupBy(*keys, "page").applyInPandas(page_map, schema)
+
+
 def fold(df: DataFrame, step: Callable, accumulator=None, rows_per_page: int = 10_000) -> Iterator:
     """step(first, last, page, accumulator) -> (yielded or None, accumulator): first call, one per page, last call.
 
@@ -55,9 +60,9 @@ def fold(df: DataFrame, step: Callable, accumulator=None, rows_per_page: int = 1
         yield out
 
 
-def money(x):
-    """Sums of doubles depend on their order; decimals don't."""
-    return x.cast("decimal(18,2)")
+def summed(column: str, scale: int | None = None):
+    """The sum of a column; with a scale exactly, in decimals of so many places (then values must be finite)."""
+    return F.sum(column) if scale is None else F.sum(F.col(column).cast(f"decimal(38,{scale})")).cast("double")
 
 
 def count_per_tag(df: DataFrame) -> DataFrame:
@@ -68,16 +73,18 @@ def latest_per_tag(df: DataFrame) -> DataFrame:
     return df.groupBy("tag_id").agg(F.max("sample_time").alias("sample_time"), F.max_by("n_value", "sample_time").alias("n_value"))
 
 
-def sum_per_tag(df: DataFrame) -> DataFrame:
-    return df.groupBy("tag_id").agg(F.sum(money(F.col("n_value"))).cast("double").alias("total"))
+def sum_per_tag(df: DataFrame, scale: int | None = None) -> DataFrame:
+    """Nulls don't count, a tag of nulls alone has a null sum, NaN makes the sum NaN; the last digits of a sum of doubles depend on its order."""
+    return df.groupBy("tag_id").agg(summed("n_value", scale).alias("total"))
 
 
-def sum_daily(df: DataFrame) -> DataFrame:
+def sum_daily(df: DataFrame, scale: int | None = None) -> DataFrame:
     day = (F.col("sample_time") - F.pmod("sample_time", F.lit(DAY_MS))).alias("day_ms")
-    return df.groupBy("tag_id", day).agg(F.sum(money(F.col("n_value"))).cast("double").alias("total"))
+    return df.groupBy("tag_id", day).agg(summed("n_value", scale).alias("total"))
 
 
 def avg_window(df: DataFrame, seconds: int = 1800) -> DataFrame:
+    """The mean per tag and tumbling window; nulls don't count."""
     width = seconds * 1000
     start = (F.col("sample_time") - F.pmod("sample_time", F.lit(width))).alias("window_ms")
-    return df.groupBy("tag_id", start).agg((F.sum(money(F.col("n_value"))).cast("double") / F.count("n_value")).alias("mean"))
+    return df.groupBy("tag_id", start).agg(F.avg("n_value").alias("mean"))

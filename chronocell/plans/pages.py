@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import GridConfig, PageConfig, check_range
@@ -38,13 +38,25 @@ def steps(time: list, tags: list, director: Callable = time_first) -> Iterator[t
         yield from director(time, tags)
 
 
+def next_steps(time: list, tags: list, director: Callable) -> Iterator[tuple]:
+    """The steps of a director that is asked for one at a time.
+
+    director(time pages, tag pages, previous time page or None, previous tag page or None) -> (time page, tag page), or
+    None at the end. It may keep to the pages or make up others, repeat or leave out any.
+    """
+    at = director(time, tags, None, None) if time and tags else None
+    while at is not None:
+        yield at
+        at = director(time, tags, *at)
+
+
 def step_order(time: DataFrame, tags: DataFrame) -> DataFrame:
-    """(step, page, tag_page) of the time-first order; the few pages of one side are repeated for each of the other."""
+    """(step, page, tag_page) of the time-first order: a tag page's place among tag pages, times the time pages, plus the time page."""
     n = time.count()
-    ranked = tags.select("tag_page").orderBy("tag_page").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    ranked = tags.sparkSession.createDataFrame(ranked, "tag_page long, nth long")
+    place = F.row_number().over(Window.orderBy("tag_page")) - 1  # over the tag pages of one query, at most one for each tag asked for
+    ranked = tags.select("tag_page").distinct().withColumn("nth", place)
     each = ranked.select("tag_page", "nth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("page"))
-    return each.select((F.col("nth") * n + F.col("page")).alias("step"), "page", "tag_page")
+    return each.select((F.col("nth") * n + F.col("page")).cast("long").alias("step"), "page", "tag_page")
 
 
 def plan_range(time: DataFrame, tags: DataFrame, config: GridConfig = GridConfig(), pages: PageConfig = PageConfig()) -> DataFrame:
