@@ -60,7 +60,7 @@ def setting(spark: SparkSession, key: str, value) -> Iterator[None]:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
-def cut(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later steps survive lost executors without recomputing it.
 
     The shuffles of the write are deleted at its end, since nothing reads them any more.
@@ -68,7 +68,7 @@ def cut(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     spark = session_of(df)
     path = new_path(spark, tag)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.option("compression", compression).parquet(path)
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
     return out

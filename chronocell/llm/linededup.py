@@ -78,6 +78,8 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate((registers.reshape(lines, HASHES), parity), axis=1), count
 
 
+#: Hashes, signatures and unlike texts gain nothing from dictionaries.
+PACKING = {"compression": "zstd"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("node", "check", "sketch", "norm")}
 LINE = "doc_id {0}, tie long, place int, node long, check long, n long, sketch binary, norm string"
 
 
@@ -97,13 +99,15 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             seen.add(node)
                             once.append(len(row)), new.append(line)
                         row.append(i), place.append(j), nodes.append(node)
-            n, sketch, norm = [None] * len(row), [None] * len(row), [None] * len(row)
-            words, count = signatures(*bytes_of(pa.array(new, pa.string()))) if new else ([], [])
-            for i, c, w, t in zip(once, count, words, new):
-                n[i], sketch[i], norm[i] = int(c), w.tobytes(), t
+            words, count = signatures(*bytes_of(pa.array(new, pa.string()))) if new else (np.zeros((0, HASHES + PARITY_BITS // 16), np.uint16), np.zeros(0, np.int64))
+            at = np.full(len(row), -1)
+            at[once] = np.arange(len(once))
+            own = pa.array(at, pa.int64(), mask=at < 0)  # the signature of a place, or none
+            ends = np.arange(len(new) + 1, dtype=np.int32) * words.shape[1] * 2
+            sketch = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(words.tobytes())])
             both = np.frombuffer(b"".join(nodes), np.int64).reshape(-1, 2)
-            at = pa.array(row, pa.int64())
-            columns = [part.column("doc_id").take(at), part.column("tie").take(at), pa.array(place, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(norm, pa.string())]
+            of = pa.array(row, pa.int64())
+            columns = [part.column("doc_id").take(of), part.column("tie").take(of), pa.array(place, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(count, pa.int64()).take(own), sketch.take(own), pa.array(new, pa.string()).take(own)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "place", "node", "check", "n", "sketch", "norm"])
 
 
@@ -136,16 +140,15 @@ def doubled_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs: (doc_id, text) -> (doc_id, tie, places): the 0-based places of the lines that go; tie is the text's hash."""
     small_batches(session_of(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = cut(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_signer, LINE.format(kind)), "signatures", "zstd")
-    first = lines.where("sketch is not null")
-    found = linked_components(first.select("node", "n", "sketch"), lambda wanted: first.select("node", F.col("norm").alias("text")).join(wanted.hint("merge"), "node").dropDuplicates(["node"]), BANDS, ROWS, HASHES + PARITY_BITS // 16, minhash_estimate(threshold, HASHES), _verifier(threshold))
+    lines = cut(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_signer, LINE.format(kind)), "signatures", **PACKING)
+    first, total = lines.where("n is not null"), lines.count()
+    found = linked_components(first.select("node", "n", "sketch", F.col("norm").alias("text")), total, None, BANDS, ROWS, HASHES + PARITY_BITS // 16, minhash_estimate(threshold, HASHES), _verifier(threshold))
     # Only the places of linked lines, and of lines that occur more than once, are looked at. Copies are lines equal in
     # both hashes; a component is a root, or such a line that is linked to no other.
     places = lines.select("doc_id", "tie", "place", "node", "check")
     copies = cut(places.groupBy("node", "check").agg(F.count("*").alias("held")).where("held > 1"), "copies")
     alone = copies.join(found, "node", "left_anti").select("node", F.col("check").alias("own"), F.col("node").alias("root"), F.col("check").alias("side"))
     asked = cut(found.select("node", F.lit(None).cast("long").alias("own"), "root", F.lit(0).cast("long").alias("side")).unionByName(alone), "asked")
-    total = places.count()
     hot = F.broadcast(copies.where(F.col("held") > HOT_SHARE * total).select("node").distinct())  # fewer than 1 / HOT_SHARE rows
     met = lambda rows, of: rows.join(of.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("own").isNull() | (F.col("own") == F.col("check"))))
     spots = met(places, F.broadcast(asked.join(hot, "node", "left_semi"))).unionByName(met(places.join(hot, "node", "left_anti"), asked.join(hot, "node", "left_anti")))
@@ -163,7 +166,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped")
     key, tie, places = fresh(docs, "gone_id", "gone_tie", "gone_places")
     gone = doubled_lines(docs.select("doc_id", "text"), threshold).select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("places").alias(places))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(tie)), "left")
+    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(tie)), "left")
     pieces = F.split("text", "\n", -1)
     hit = F.col(places).isNotNull()
     kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(places, i)), "\n")

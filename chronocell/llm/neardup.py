@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         own = texts.join(of, F.col("tie").eqNullSafe(F.col("t")) & F.col("doc_id").eqNullSafe(F.col("k")))
         return own.select("node", "text").dropDuplicates(["node"])
 
-    found = linked_components(classes.select("node", "n", "sketch"), own_texts, BANDS, ROWS, REGISTERS + PARITY_BITS // 16, setsketch_estimate(percent / 100, BASE, REGISTERS), _verifier(k, percent))
+    found = linked_components(classes.select("node", "n", "sketch"), classes.count(), own_texts, BANDS, ROWS, REGISTERS + PARITY_BITS // 16, setsketch_estimate(percent / 100, BASE, REGISTERS), _verifier(k, percent))
     named = classes.select("node", "check", "at").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("at").alias("at"))
     named = named.select("node", "check", "root").join(ids, "root").select("node", "check", F.col("at.doc_id").alias("component_id"), F.col("at.tie").alias("first_tie"))

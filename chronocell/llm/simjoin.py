@@ -37,12 +37,16 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _sorted_once(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (key, node) entries in order."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-    return key[new], node[new]
+def _by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys are neighbours but for rare others between them, and the keys' leading bits in that order."""
+    bits = np.uint64(max(1, len(key)).bit_length())
+    both = np.sort((key >> bits << bits) | np.arange(len(key), dtype=np.uint64))
+    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), both >> bits
+
+
+def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of the leading bits, so that keys in order are in order of their shards."""
+    return ((key >> np.uint64(44)).astype(np.int64) * shards) >> 20
 
 
 def _packer(bands: int, rows: int, width: int, shards: int):
@@ -50,22 +54,22 @@ def _packer(bands: int, rows: int, width: int, shards: int):
         held_k, held_n, count, counter = [], [], 0, itertools.count()
 
         def flush():
-            key, node = _sorted_once(np.concatenate(held_k), np.concatenate(held_n))
+            key, node = np.concatenate(held_k), np.concatenate(held_n)
+            order, _ = _by_key(key)
+            key, node = key[order], node[order]
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(start, len(key)))
             nth = np.arange(len(key)) - np.repeat(start, size)
-            hot = np.repeat(size, size) > HOT
-            sent = ~hot | (nth < 2)
-            shard = (key[sent] % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            some_k, some_n, shard = key[sent][order], node[sent][order], shard[order]
+            ready = (np.repeat(size, size) > HOT) & (nth >= 2)
+            hot_k, hot_n, key, node = key[ready], node[ready], key[~ready], node[~ready]
+            shard = _shard_of(key, shards)
             at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
             ends = np.append(at[1:], len(shard))
-            ready, count_ = hot & (nth >= 2), next(counter)
-            keys = [some_k[a:b].tobytes() for a, b in zip(at, ends)] + [key[ready].tobytes()]
-            nodes = [some_n[a:b].tobytes() for a, b in zip(at, ends)] + [node[ready].tobytes()]
-            own = -1 - (TaskContext.get().partitionId() << 24) - count_  # a shard for this message alone
-            return pa.RecordBatch.from_arrays([pa.array(np.append(shard[at], own), pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], ["shard", "keys", "nodes"])
+            own = -1 - (TaskContext.get().partitionId() << 24) - next(counter)  # a shard for the hot keys' message alone
+            keys = [key[a:b].tobytes() for a, b in zip(at, ends)] + [hot_k.tobytes()]
+            nodes = [node[a:b].tobytes() for a, b in zip(at, ends)] + [hot_n.tobytes()]
+            out = pa.RecordBatch.from_arrays([pa.array(np.append(shard[at], own), pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], ["shard", "keys", "nodes"])
+            return out if len(hot_k) else out.slice(0, len(at))
 
         for batch in batches:
             if not batch.num_rows:
@@ -84,31 +88,33 @@ def _packer(bands: int, rows: int, width: int, shards: int):
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
-    """The entries of a shard whose key several nodes have; of a message with a shard of its own, all."""
+    """The entries of a shard whose key several nodes have (and a few others), each once; of a message with a shard of its own, all."""
     key = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
     node = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()])
     if table.column("shard")[0].as_py() >= 0:
-        key, node = _sorted_once(key, node)
-        same = key[1:] == key[:-1]
-        many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        key, node = key[many[: len(key)]], node[many[: len(key)]]
-    return pa.table({"bucket": pa.array(key.view(np.int64)), "node": pa.array(node)})
+        order, leading = _by_key(key)
+        same = leading[1:] == leading[:-1]
+        many = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(key) else order
+        key, node = key[many], node[many]
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) if len(key) else np.zeros(0, bool)
+    return pa.table({"bucket": pa.array(key[new].view(np.int64)), "node": pa.array(node[new])})
 
 
-def shared_buckets(nodes: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """nodes: (node, n, sketch), repeats allowed -> (bucket, node, size, n, sketch) of buckets with several nodes."""
-    count = nodes.count()
+def shared_buckets(nodes: DataFrame, count: int, bands: int, rows: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """nodes: (node, n, sketch, more columns), repeats allowed -> (bucket, node, size) of buckets with several nodes, and
+    the rows of the nodes in them, one for each. count: about how many nodes there are."""
     shards = max(32, count * bands // SHARD_ENTRIES + 1)
     packed = nodes.select("node", "sketch").mapInArrow(_packer(bands, rows, width, shards), "shard long, keys binary, nodes binary")
-    # a node that was packed more than once may stand in a bucket as often
+    # a hot key's nodes come from several tasks, and a node may have been packed more than once
     shared = cut(packed.groupBy("shard").applyInArrow(_shared_keys, "bucket long, node long").distinct(), "buckets")
-    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     sized = cut(shared.join(sizes, "bucket"), "sized-buckets")
     drop(shared)
-    needed = nodes.join(sized.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    out = cut(sized.join(needed, "node"), "bucket-rows")
-    drop(sized)
-    return out
+    # the few nodes are the hashed side, so that the wide rows are dealt but not sorted
+    needed = nodes.join(sized.select("node").distinct().hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
+    return sized, cut(needed, "needed")
 
 
 # ---- estimates ----------------------------------------------------------------------------------
@@ -286,7 +292,7 @@ def _round_two(keep: Callable, bands: int, rows_: int):
 
 
 def _mixed_groups(rooted: DataFrame) -> DataFrame:
-    """(bucket, node, n, sketch, root) -> the rows of buckets with several roots, once for each group they are compared in."""
+    """(bucket, node, root) -> the rows of buckets with several roots, once for each group they are compared in."""
     per_root = rooted.groupBy("bucket", "root").agg(F.count("*").alias("held"))
     per_bucket = per_root.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("top"), F.sum("held").alias("size"), F.count("*").alias("roots")).where("roots > 1")
     blocks = lambda x: F.ceil(x / BLOCK).cast("long")
@@ -298,21 +304,25 @@ def _mixed_groups(rooted: DataFrame) -> DataFrame:
     with_major = lambda major, stray: pair(F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.xxhash64("bucket", F.lit("major"), major, stray))
     with_strays = lambda o: pair(F.least("own", o), F.greatest("own", o), F.xxhash64("bucket", F.lit("strays"), F.least("own", o), F.greatest("own", o)))
     places = F.when(F.col("stray") == 0, F.transform(upto(F.col("strays")), lambda o: with_major(F.col("own"), o))).otherwise(F.concat(F.transform(upto(F.col("majors")), lambda o: with_major(o, F.col("own"))), F.transform(upto(F.col("strays")), with_strays)))
-    return rows.withColumn("at", F.explode(places)).select("at.group", "node", "n", "sketch", "root", "stray", "own", "at.left", "at.right", "bucket")
+    return rows.withColumn("at", F.explode(places)).select("at.group", "node", "root", "stray", "own", "at.left", "at.right", "bucket")
 
 
-def linked_components(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], bands: int, rows: int, width: int, keep: Callable, verifier: Callable) -> DataFrame:
+def linked_components(nodes: DataFrame, count: int, texts: Callable[[DataFrame], DataFrame] | None, bands: int, rows: int, width: int, keep: Callable, verifier: Callable) -> DataFrame:
     """(node, root) of every node with a verified link.
 
-    nodes: (node, n, sketch), repeats allowed; texts: a table of nodes -> their (node, text), one row a node;
+    nodes: (node, n, sketch), repeats allowed, with a column text if texts is None; count: about how many there are;
+    texts: a table of nodes -> their (node, text), one row a node;
     verifier: Arrow batches of (a, b, text_a, text_b) -> the (a, b) that are links.
     """
     spark = session_of(nodes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = shared_buckets(nodes, bands, rows, width)
+    sized, needed = shared_buckets(nodes, count, bands, rows, width)
+    sketches = needed.select("node", "n", "sketch")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """The links among pairs, after their nodes' texts alone are fetched."""
+        """The links among pairs; only the texts of their nodes are fetched."""
+        if texts is None:
+            return cut(with_texts(pairs, needed.select("node", "text")).mapInArrow(verifier, "a long, b long"), "links")
         wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
         held = cut(texts(wanted), "texts")
         links = cut(with_texts(pairs, held).mapInArrow(verifier, "a long, b long"), "links")
@@ -320,22 +330,22 @@ def linked_components(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame],
         return links
 
     group = F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK).cast("long"))).alias("group")
-    dealt = buckets.select(group, "node", "n", "sketch").repartition(parts, "group").sortWithinPartitions("group")
+    dealt = sized.select(group, "node").join(sketches, "node").repartition(parts, "group").sortWithinPartitions("group")
     first = cut(dealt.mapInArrow(_round_one(keep), "a long, b long").distinct(), "pairs")
     links = verify(first)
     found = components(links)
     stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
-    rooted = buckets.drop("size").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    dealt = _mixed_groups(rooted).repartition(parts, "group").sortWithinPartitions("group")
+    rooted = cut(sized.select("bucket", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    dealt = _mixed_groups(rooted).join(sketches, "node").repartition(parts, "group").sortWithinPartitions("group")
     second = cut(dealt.mapInArrow(_round_two(keep, bands, rows), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    drop(buckets, links)
+    drop(sized, rooted, links)
     if second.isEmpty():
-        drop(first, second)
+        drop(first, second, needed)
         return found
     more = verify(second)
     out = components(stars.unionByName(more))
-    drop(first, second, more, found)
+    drop(first, second, more, found, needed)
     return out
 
 
