@@ -1,7 +1,7 @@
 """Language-model scoring from a log-frequency Bloom filter over n-gram counts.
 
 A count c is held as level q = 1 + floor(log2(c)): the filter stores the n-gram with each number 1..q, and a reader
-probes 1, 2, ... until the first miss. Unigrams and bigrams share the filter, sharded by n-gram hash. Levels are read
+probes 1, 2, ... until the first miss, at four spots each; words, of which there are fewer, have more bits each. Unigrams and bigrams share the filter, sharded by n-gram hash. Levels are read
 back as the mean training count of their level, so totals stay unbiased, and bigram and add-one unigram estimates are
 interpolated: p(w | v) = WEIGHT * c(v, w) / c(v) + (1 - WEIGHT) * p(w).
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, session_of, small_batches, span_hashes
 
 CHUNK_BYTES, SHARD_ENTRIES, BROADCAST_BYTES = 1_500_000, 1_000_000, 256_000_000
-PROBES, BITS_PER_ENTRY, WEIGHT, LEVELS = 4, 8, 0.2, 64
+WORD_BITS, BIGRAM_BITS, WEIGHT, LEVELS = 20, 8, 0.2, 64
 END = b"\n"
 CHUNK = "chunk long, ids binary, held binary, texts binary, bytes long"
 
@@ -139,10 +139,23 @@ def _asker(bigram_shards: int):
 # ---- the filter ---------------------------------------------------------------------------------
 
 
-def _spots(h: np.ndarray, level: int, bits) -> Iterator[np.ndarray]:
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _level_hash(h: np.ndarray, level: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for j in range(PROBES):
-            yield mix64(h + np.uint64(level) * np.uint64(0x9FB21C651E98DF25) + np.uint64(j + 1) * np.uint64(0x2545F4914F6CDD1D)) % bits
+        return mix64(h + np.uint64(level) * np.uint64(0x9FB21C651E98DF25))
+
+
+def _next_hash(g: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(g + np.uint64(0x2545F4914F6CDD1D))
+
+
+def _spots(g: np.ndarray, bits) -> tuple[np.ndarray, np.ndarray]:
+    """Two spots below bits (less than 2^32) from the halves of a hash."""
+    half = np.uint64(32)
+    return ((g >> half) * bits) >> half, ((g & _LOW) * bits) >> half
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -150,13 +163,14 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1)) + 1e-12).astype(np.int64) + 1, 0)
 
 
-def build_filter(h: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
+def build_filter(h: np.ndarray, counts: np.ndarray, bits_per_entry: int = BIGRAM_BITS) -> tuple[bytes, np.ndarray]:
     """The bits of a shard, and by level (types, sum of counts)."""
     level = level_of(counts)
-    bits = max(64, -(-int(level.sum()) * BITS_PER_ENTRY // 64) * 64)
+    bits = max(64, -(-int(level.sum()) * bits_per_entry // 64) * 64)
     out = np.zeros(bits, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
-        for spot in _spots(h[level >= q], q, np.uint64(bits)):
+        g = _level_hash(h[level >= q], q)
+        for spot in _spots(g, np.uint64(bits)) + _spots(_next_hash(g), np.uint64(bits)):
             out[spot.astype(np.int64)] = True
     stats = np.stack([np.bincount(level, minlength=LEVELS)[:LEVELS], np.bincount(level, weights=counts, minlength=LEVELS)[:LEVELS]])
     stats[:, 0] = 0
@@ -175,15 +189,17 @@ class Filter:
     def levels(self, h: np.ndarray) -> np.ndarray:
         shard = ((h >> np.uint64(8)) % np.uint64(self.shards)).astype(np.int64)
         out = np.zeros(len(h), np.uint8)
-        live = np.arange(len(h))
+        live, bits, start = np.arange(len(h)), self.bits[shard], self.start[shard]
         for q in range(1, LEVELS):
             if not len(live):
                 break
-            ok = np.ones(len(live), bool)
-            for spot in _spots(h[live], q, self.bits[shard[live]]):
-                spot = spot.astype(np.int64) + self.start[shard[live]]
-                ok &= (self.data[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
-            live = live[ok]
+            g = _level_hash(h[live], q)
+            for second in (False, True):
+                g = _next_hash(g) if second else g
+                for half in (0, 1):  # what misses a spot leaves at once
+                    spot = _spots(g, bits)[half].astype(np.int64) + start
+                    ok = (self.data[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+                    live, g, bits, start = live[ok], g[ok], bits[ok], start[ok]
             out[live] = q
         return out
 
@@ -212,7 +228,7 @@ def _add_words(table: pa.Table, shards: int) -> pa.Table:
     ends = np.cumsum([len(w) + 1 for w in names])
     h = span_hashes(np.frombuffer(b"\0".join(names) + b"\0", np.uint8), np.concatenate(([0], ends[:-1])), ends - 1)
     seen = total > 0
-    bits, stats = build_filter(h[seen], total[seen])
+    bits, stats = build_filter(h[seen], total[seen], WORD_BITS)
     rows = [("words", None, shard, bits, stats.tobytes())]
     levels = Filter(shards, {shard: bits}).levels(h)
     at = 0
@@ -286,9 +302,10 @@ def _scorer(model, word_shards: int, bigram_shards: int, n: int, v: int, mean1:
 
 
 def _means(rows: list, what: str) -> np.ndarray:
-    """By level the mean count; at LEVELS the sum of counts."""
+    """By level the mean count, of a level without n-grams (which a wrong probe may name) that of the one below; at LEVELS the sum of counts."""
     stats = sum((np.frombuffer(r.more, np.float64).reshape(2, LEVELS) for r in rows if r.what == what), np.zeros((2, LEVELS)))
-    return np.append(np.where(stats[0] > 0, stats[1] / np.maximum(stats[0], 1), 0.0), stats[1].sum())
+    means = stats[1] / np.maximum(stats[0], 1)
+    return np.append(means[np.maximum.accumulate(np.where(stats[0] > 0, np.arange(LEVELS), 0))], stats[1].sum())
 
 
 def score_texts(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -299,8 +316,8 @@ def score_texts(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Data
     size = chunks.agg(F.sum("bytes")).first()[0] or 0
     word_shards = int(max(24, size // 30 // SHARD_ENTRIES))
     bigram_shards = int(max(24, size // 8 // SHARD_ENTRIES))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = chunks.repartition(max(parts, 1)) if chunks.rdd.getNumPartitions() < parts else chunks
+    cores = spark.sparkContext.defaultParallelism
+    few = chunks.repartition(cores) if chunks.rdd.getNumPartitions() < cores else chunks
     counted = cut(few.mapInArrow(_sender(word_shards, bigram_shards), MESSAGE).groupBy("what", "shard").applyInArrow(_add(word_shards), ANSWER), "counts")
     shards = counted.where("what in ('words', 'bigrams')")  # one row a shard
     small = shards.select("what", "more").collect()
