@@ -3,7 +3,8 @@
 Every document of a source gets the same number of certain whole copies; the fractional rest of the source's target is
 filled by a Pareto order sample: documents are ranked by random odds over inclusion odds and taken in that order while
 they fit into the source's words. A document that doesn't fit ends a round; the next of FILLS rounds goes over the
-documents that are still out and no longer than what is left. The last document of a round is found on STEP bits of
+documents that are still out and no longer than what is left; in the end the first document still out that brings the
+source nearer to its target is taken, even if it goes beyond it. The last document of a round is found on STEP bits of
 the rank at a time from per-bin sums, so no source is ever sorted by one task, however large it is, and the result does
 not depend on the size of bins.
 
@@ -121,6 +122,10 @@ def pareto_mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, lim
         last = last_taken(asked.where(fits).select("sid", "key", "doc_id", "tie", "size"), left, bin_rows)
         out = asked.join(last.select("sid", "last"), "sid", "left").withColumn("extra", F.col("extra") + F.coalesce((fits & (place <= F.col("last"))).cast("long"), F.lit(0))).drop("rest", "last")
         left = cut(left.join(last.select("sid", "words"), "sid", "left").select("sid", (F.col("rest") - F.coalesce("words", F.lit(0))).alias("rest")), "left")
+    nearer = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("rest"))
+    asked = out.join(left, "sid")
+    end = cut(asked.where(nearer).groupBy("sid").agg(F.min(place).alias("end")), "ends")
+    out = asked.join(end, "sid", "left").withColumn("extra", F.col("extra") + F.coalesce((nearer & (place == F.col("end"))).cast("long"), F.lit(0)))
     out = out.withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(int(limit))))
     return out.select("doc_id", "tie", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.col("whole")).alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
