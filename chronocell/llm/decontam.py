@@ -4,7 +4,8 @@ Words lose case and outer signs; numbers, names (capitalised inside a sentence)
 placeholders; a run of placeholders of one type inside a sentence is one place. Hashes of template windows of WINDOW
 places join documents with benchmark items. Diagonals (document place minus item place) at most WINDOW apart are chained
 in the order of both texts, so words put in or left out do not end a match; on all of a chain the slots behind the
-placeholders must agree: one item value always stands for one document value. So items that were asked again with other
+placeholders must agree: one item value always stands for one document value, and one name of the document for one of
+the item (numbers may meet by chance: 2 and 3 may be asked again as 5 and 5). So items that were asked again with other
 numbers or names are found too.
 
 A capitalised word that opens a sentence may be a name or not, so windows with such openers are indexed and probed in
@@ -17,8 +18,10 @@ The benchmark goes to the workers in blocks of bounded size; each further block
 Defined cases: null or empty texts on either side match nothing; an item shorter than a window is one window as long as
 itself (at least LEAST_LITERALS literal words); an item without a window (fewer literal words, or dense with placeholders)
 is found as a verbatim copy alone, by the hash of all its words without types, and counts as one window: asked again with
-other slots it stays out, as do items of signs alone. An item of one common word so marks every document that has it; rows that repeat get the same result; an empty table on either side
-gives no matches; whole texts are read, whatever their length.
+other slots it stays out, as do items of signs alone. An item of one common word so marks every document that has it; rows
+that repeat get the same result; of chains that tie the exact one counts; ids are cast to long and other columns are left
+out, but drop_leaks keeps all columns whatever their names; an empty table on either side gives no matches; whole texts
+are read, whatever their length.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, lower_bytes, mix64, session_of, slices, small_batches, span_hashes, words_of
+from .common import bytes_of, cut, fresh, lower_bytes, mix64, session_of, slices, small_batches, span_hashes, words_of
 
 WINDOW, LEAST_LITERALS = 8, 5
 #: Items in one pass over the documents are at most about this many characters long together.
@@ -158,6 +161,14 @@ def sequences(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
+def _fits(held: dict, more: dict) -> bool:
+    """Whether the values of more agree with those held, both ways for names."""
+    if any(held.get(k, v) != v for k, v in more.items()):
+        return False
+    back = {v: k for k, v in held.items() if k[0] == NAME}
+    return all(back.get(v, k) == k for k, v in more.items() if k[0] == NAME)
+
+
 class Benchmark:
     """Sorted window hashes of some items, by window size; whole sequences of words of the items without a window."""
 
@@ -223,11 +234,12 @@ class Benchmark:
         return [(t, self.verbatim[size][2][j]) for t, size, j in out]
 
     def _slots(self, item: int, shift: int, spots: set[int], c: Canon) -> tuple[bool, dict, bool]:
-        """Whether one item value stands for one document value on a diagonal, the values, and whether they are equal."""
+        """Whether the slots of a diagonal agree, the document's values by the item's, and whether they are equal."""
         _, words, kinds, opener, _, size = self.words[item]
         covered = {p + k for p in spots for k in range(size)}
         names = {x for w, k in zip(words, kinds) if k == NAME for x in w}
         to: dict[tuple, tuple] = {}
+        back: dict[tuple, tuple] = {}
         consistent = exact = True
         for p in sorted(covered):
             if not kinds[p] and not opener[p]:
@@ -241,7 +253,9 @@ class Benchmark:
             elif p + 1 not in covered:
                 a, b = a[:n], b[:n]
             for x, y in [((x,), (y,)) for x, y in zip(a, b)] if len(a) == len(b) else [(a, b)]:
-                consistent &= to.setdefault((int(kinds[p]) or NAME, x), y) == y
+                slot = (int(kinds[p]) or NAME, x)
+                consistent &= to.setdefault(slot, y) == y
+                consistent &= slot[0] != NAME or back.setdefault(y, x) == x
                 exact &= x == y
         return consistent, to, exact
 
@@ -264,8 +278,7 @@ class Benchmark:
 
         def agreeing(s: int, t: int) -> bool:
             if (s, t) not in agree:
-                x, y = slots[s][1], slots[t][1]
-                agree[s, t] = agree[t, s] = all(y.get(k, v) == v for k, v in x.items())
+                agree[s, t] = agree[t, s] = _fits(slots[s][1], slots[t][1])
             return agree[s, t]
 
         near = {s: [t for t in group if abs(t - s) <= WINDOW] for s in group}
@@ -288,7 +301,7 @@ class Benchmark:
         to: dict = {}
         n, exact = 0, True
         for s in sorted(taken, key=lambda s: (-taken[s], s)):  # a smaller piece whose slots contradict the greater ones adds nothing
-            if all(to.get(k, v) == v for k, v in slots[s][1].items()):
+            if _fits(to, slots[s][1]):
                 to |= slots[s][1]
                 n += taken[s]
                 exact &= slots[s][2]
@@ -324,12 +337,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, blo
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
         got = source.mapInArrow(search, schema)
+        if blocks > 1:  # one block of the benchmark is held at a time
+            got = cut(got, "block-leaks")
+            shared.destroy()
         out = got if out is None else out.unionByName(got)
     return out.withColumn("contaminated", F.col("consistent") & (F.col("windows") >= coverage * F.col("item_windows")))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
     """docs without the contaminated ones."""
-    bad = find_leaks(docs.select("doc_id", "text"), benchmark, coverage).where("contaminated").select(F.col("doc_id").alias("__k"), F.col("tie").alias("__t")).distinct()
+    key, tie = fresh(docs, "leak_id", "leak_tie")
+    bad = find_leaks(docs.select("doc_id", "text"), benchmark, coverage).where("contaminated").select(F.col("doc_id").alias(key), F.col("tie").alias(tie)).distinct()
     bad = cut(bad, "leaks")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__k")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(tie)), "left_anti")
