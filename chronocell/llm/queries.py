@@ -49,7 +49,9 @@ def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
+    found = licenses.scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
+    one = lambda b: F.concat_ws(":", b["line"].cast("string"), b["label"], F.round(b["containment"], 4).cast("string"))
+    return found.withColumn("blocks", F.coalesce(F.array_join(F.transform("blocks", one), ","), F.lit("")))
 
 
 def op9_spectrum_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +67,15 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_history([docs.where(~second), docs.where(second)], secrets.SecretLedger(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_subsequence_toxicity, op2_bloom_lm_score, op3_pareto_mix, op4_fuzzy_lines, op5_setsketch_neardup, op6_template_decontamination, op7_merkle_fingerprints, op8_license_scan, op9_spectrum_language, op10_secret_ledger)}
+def token_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can express."""
+    found = op2_bloom_lm_score(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return op3_pareto_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+QUERIES = {f.__name__: f for f in (op1_subsequence_toxicity, op2_bloom_lm_score, op3_pareto_mix, op4_fuzzy_lines, op5_setsketch_neardup, op6_template_decontamination, op7_merkle_fingerprints, op8_license_scan, op9_spectrum_language, op10_secret_ledger, token_base_scores, mix_targets)}
