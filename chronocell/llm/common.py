@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import hadoop_path, new_path
+
 #: The characters that separate words.
 SPACE = "\x20\x09-\x0d"
 WORD = rf"[^{SPACE}]+"
@@ -23,32 +23,6 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Only a local master without that setting gets a folder below its warehouse: on a cluster that may be a machine's own.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-
-
-def _hadoop(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, deleted by Hadoop's client when the driver ends."""
-    path = f"{work_dir(spark).rstrip('/')}/chronocell/{tag}-{uuid.uuid4().hex}"
-    files, at = _hadoop(spark, path)
-    files.deleteOnExit(at)
-    return path
-
-
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value) -> Iterator[None]:
     """A session setting for the time of a block."""
@@ -77,7 +51,7 @@ def cut(df: DataFrame, tag: str, **options: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut(), once what was made from them is written itself."""
     for table in tables:
-        files, at = _hadoop(session_of(table), table._cut_at)
+        files, at = hadoop_path(session_of(table), table._cut_at)
         files.delete(at, True)
 
 
