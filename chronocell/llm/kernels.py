@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def inverse_root(k: np.ndarray, floor: float = 1e-6) -> np.ndarray:
     """The symmetric inverse square root of a kernel matrix of landmarks; directions below the floor are left out."""
@@ -25,7 +27,8 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, keys=("doc_id",
     rows: (doc_id, text, label) -> (doc_id, u, text, label). The bound is 1.25 * per_label rows a label on average; every label
     has its share, whatever their number.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("held")).select(F.col(label).alias("of"), "held")
+    # written first, so that its size is known: a table of few labels is broadcast, and texts are not dealt by label
+    counts = cut(rows.groupBy(label).agg(F.count("*").alias("held")).select(F.col(label).alias("of"), "held"), "label-counts")
     u = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.withColumn("u", u).join(counts, F.col(label) == F.col("of")).where(F.col("u") < 1.25 * per_label / F.col("held"))
     return chosen.select("doc_id", "u", "text", F.col(label).alias("label"))
