@@ -53,27 +53,33 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x[np.arange(n.sum()) + np.repeat(offsets[:-1] - (np.cumsum(n) - n), n)], n
 
 
+def joined(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of lines, each followed by one newline, and the offsets of the lines (n + 1 of them); no line holds a newline."""
+    data = np.frombuffer(("\n".join(lines) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+    return data, np.concatenate(([0], np.flatnonzero(data == 10) + 1))
+
+
 def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lines, HASHES + PARITY_BITS / 16) 16-bit registers and parity words, and the number of distinct shingles."""
     x, n = shingles(data, offsets)
     lines, shift = len(n), np.uint64(DISTINCT_BITS)
     distinct = np.sort((np.repeat(np.arange(lines, dtype=np.uint64), n) << shift) | (mix64(x) >> np.uint64(64 - DISTINCT_BITS)))
     distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))] if len(distinct) else distinct
-    count = np.bincount((distinct >> shift).astype(np.int64), minlength=lines)
+    count = np.diff(np.searchsorted(distinct, np.arange(lines + 1, dtype=np.uint64) << shift))
     bin_ = (distinct >> np.uint64(DISTINCT_BITS - HASHES.bit_length() + 1)).astype(np.int64)  # of all lines' bins
     least = np.flatnonzero(np.concatenate(([True], bin_[1:] != bin_[:-1]))) if len(bin_) else bin_
     registers, filled = np.zeros(lines * HASHES, np.uint16), np.zeros(lines * HASHES, bool)
     registers[bin_[least]] = (distinct[least] & np.uint64(0xFFFF)).astype(np.uint16)
     filled[bin_[least]] = True
     empty = np.flatnonzero(~filled)
-    line, own = empty // HASHES * HASHES, empty % HASHES
-    for i in range(1, HASHES):
-        if not len(empty):
-            break
-        other = line + _ORDER[own, i]
+    for i in (1, 2):  # most are filled by the first bins of their orders, the rest looks at whole orders
+        other = empty // HASHES * HASHES + _ORDER[empty % HASHES, i]
         ok = filled[other]
         registers[empty[ok]] = registers[other[ok]]
-        empty, line, own = empty[~ok], line[~ok], own[~ok]
+        empty = empty[~ok]
+    line = empty // HASHES * HASHES
+    other = line + _ORDER[empty % HASHES, filled[line[:, None] + _ORDER[empty % HASHES]].argmax(axis=1)]
+    registers[empty] = registers[other]
     parity = parities_of(distinct, np.cumsum(count) - count, PARITY_BITS)
     return np.concatenate((registers.reshape(lines, HASHES), parity), axis=1), count
 
@@ -99,7 +105,7 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             seen.add(node)
                             once.append(len(row)), new.append(line)
                         row.append(i), place.append(j), nodes.append(node)
-            words, count = signatures(*bytes_of(pa.array(new, pa.string()))) if new else (np.zeros((0, HASHES + PARITY_BITS // 16), np.uint16), np.zeros(0, np.int64))
+            words, count = signatures(*joined(new)) if new else (np.zeros((0, HASHES + PARITY_BITS // 16), np.uint16), np.zeros(0, np.int64))
             at = np.full(len(row), -1)
             at[once] = np.arange(len(once))
             own = pa.array(at, pa.int64(), mask=at < 0)  # the signature of a place, or none
