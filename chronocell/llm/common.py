@@ -44,15 +44,25 @@ def cut(df: DataFrame, tag: str, **options: str) -> DataFrame:
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._cut_at = path
+    out._cut_at = [path]
+    return out
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Tables made by cut() as one."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    out._cut_at = [path for table in tables for path in table._cut_at]
     return out
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut(), once what was made from them is written itself."""
     for table in tables:
-        files, at = hadoop_path(session_of(table), table._cut_at)
-        files.delete(at, True)
+        for path in table._cut_at:
+            files, at = hadoop_path(session_of(table), path)
+            files.delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

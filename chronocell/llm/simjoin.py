@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, mix64, session_of
+from .common import components, cut, drop, mix64, session_of, together
 
 #: Entries of packed band keys that one shard holds (16 bytes each), and nodes in a block of a bucket.
 SHARD_ENTRIES, BLOCK = 2_000_000, 1000
-#: Entries a task packs at a time, and nodes of a batch from which a key is hot.
-PACKED, HOT = 1_000_000, 16
+#: Entries a task packs at a time, nodes of a batch from which a key is hot, and parts in which the rows of nodes are fetched.
+PACKED, HOT, FETCHES = 1_000_000, 16, 2
 
 
 def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -112,9 +112,12 @@ def shared_buckets(nodes: DataFrame, count: int, bands: int, rows: int, width: i
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     sized = cut(shared.join(sizes, "bucket"), "sized-buckets")
     drop(shared)
-    # the few nodes are the hashed side, so that the wide rows are dealt but not sorted
-    needed = nodes.join(sized.select("node").distinct().hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
-    return sized, cut(needed, "needed")
+    # the few nodes are the hashed side, so that the wide rows are dealt but not sorted; some at a time, so that less lies on disk
+    needed = []
+    for i in range(FETCHES):
+        own = sized.select("node").distinct().where(F.pmod("node", F.lit(FETCHES)) == i).hint("shuffle_hash")
+        needed.append(cut(nodes.where(F.pmod("node", F.lit(FETCHES)) == i).join(own, "node", "left_semi").dropDuplicates(["node"]), "needed"))
+    return sized, together(needed)
 
 
 # ---- estimates ----------------------------------------------------------------------------------
