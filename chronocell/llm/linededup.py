@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, drop, fresh, mix64, session_of, slices, small_batches
-from .simjoin import linked_components, minhash_estimate, parities_of
+from .common import bytes_of, cut, drop, fresh, session_of, slices, small_batches
+from .simjoin import linked_components, minhash_estimate
 
 SHINGLE, HASHES, BANDS, ROWS = 7, 64, 16, 4
 #: Bits of a line's parity sketch, and of the hashes that tell its distinct shingles apart beside a line's number.
@@ -48,9 +48,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """The shingles of lines as 56-bit numbers, and how many each line has; each line ends with one newline byte."""
     lengths = np.diff(offsets) - 1
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    x = np.ndarray(len(data), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * SHINGLE) - 1)
-    n = np.maximum(1, lengths - SHINGLE + 1)
-    return x[np.arange(n.sum()) + np.repeat(offsets[:-1] - (np.cumsum(n) - n), n)], n
+    whole = np.ones(len(data) + SHINGLE, bool)  # the places from which a run of SHINGLE bytes stays in its line
+    whole[offsets[1:, None] - 1 - np.arange(SHINGLE)] = False
+    whole[offsets[:-1][lengths < SHINGLE]] = True
+    x = np.ndarray(len(data), "<u8", padded, strides=(1,))[whole[: len(data)]]
+    x &= np.uint64((1 << 8 * SHINGLE) - 1)
+    return x, np.maximum(1, lengths - SHINGLE + 1)
+
+
+def leading_hash(x: np.ndarray) -> np.ndarray:
+    """DISTINCT_BITS of a hash of shingles, which are overwritten."""
+    with np.errstate(over="ignore"):
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    x >>= np.uint64(64 - DISTINCT_BITS)
+    return x
 
 
 def joined(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,24 +76,30 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """(lines, HASHES + PARITY_BITS / 16) 16-bit registers and parity words, and the number of distinct shingles."""
     x, n = shingles(data, offsets)
     lines, shift = len(n), np.uint64(DISTINCT_BITS)
-    distinct = np.sort((np.repeat(np.arange(lines, dtype=np.uint64), n) << shift) | (mix64(x) >> np.uint64(64 - DISTINCT_BITS)))
+    distinct = np.sort((np.repeat(np.arange(lines, dtype=np.uint64), n) << shift) | leading_hash(x))
     distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))] if len(distinct) else distinct
     count = np.diff(np.searchsorted(distinct, np.arange(lines + 1, dtype=np.uint64) << shift))
-    bin_ = (distinct >> np.uint64(DISTINCT_BITS - HASHES.bit_length() + 1)).astype(np.int64)  # of all lines' bins
-    least = np.flatnonzero(np.concatenate(([True], bin_[1:] != bin_[:-1]))) if len(bin_) else bin_
+    # in this order hashes that fall on one bit of the parity sketch are neighbours, and so are those of one bin
+    spot = (distinct >> np.uint64(DISTINCT_BITS - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    start = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1]))) if len(spot) else spot
+    odd = np.diff(np.append(start, len(spot))) & 1 == 1
+    spot = spot[start]
+    bits = np.zeros(lines * PARITY_BITS, bool)
+    bits[spot[odd]] = True
+    parity = np.packbits(bits.reshape(lines, PARITY_BITS), axis=1).view(np.uint16)
+    bin_ = spot // (PARITY_BITS // HASHES)
+    first = np.concatenate(([True], bin_[1:] != bin_[:-1])) if len(bin_) else bin_
     registers, filled = np.zeros(lines * HASHES, np.uint16), np.zeros(lines * HASHES, bool)
-    registers[bin_[least]] = (distinct[least] & np.uint64(0xFFFF)).astype(np.uint16)
-    filled[bin_[least]] = True
+    registers[bin_[first]] = (distinct[start[first]] & np.uint64(0xFFFF)).astype(np.uint16)
+    filled[bin_[first]] = True
     empty = np.flatnonzero(~filled)
-    for i in (1, 2):  # most are filled by the first bins of their orders, the rest looks at whole orders
+    for i in range(1, 6):  # most are filled by the first bins of their orders, the rest looks at whole orders
         other = empty // HASHES * HASHES + _ORDER[empty % HASHES, i]
         ok = filled[other]
         registers[empty[ok]] = registers[other[ok]]
         empty = empty[~ok]
     line = empty // HASHES * HASHES
-    other = line + _ORDER[empty % HASHES, filled[line[:, None] + _ORDER[empty % HASHES]].argmax(axis=1)]
-    registers[empty] = registers[other]
-    parity = parities_of(distinct, np.cumsum(count) - count, PARITY_BITS)
+    registers[empty] = registers[line + _ORDER[empty % HASHES, filled[line[:, None] + _ORDER[empty % HASHES]].argmax(axis=1)]]
     return np.concatenate((registers.reshape(lines, HASHES), parity), axis=1), count
 
 
@@ -157,7 +176,7 @@ def doubled_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     asked = cut(found.select("node", F.lit(None).cast("long").alias("own"), "root", F.lit(0).cast("long").alias("side")).unionByName(alone), "asked")
     hot = F.broadcast(copies.where(F.col("held") > HOT_SHARE * total).select("node").distinct())  # fewer than 1 / HOT_SHARE rows
     met = lambda rows, of: rows.join(of.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("own").isNull() | (F.col("own") == F.col("check"))))
-    spots = met(places, F.broadcast(asked.join(hot, "node", "left_semi"))).unionByName(met(places.join(hot, "node", "left_anti"), asked.join(hot, "node", "left_anti")))
+    spots = met(places, F.broadcast(asked.join(hot, "node", "left_semi"))).unionByName(met(places.join(hot, "node", "left_anti"), asked.join(hot, "node", "left_anti").hint("shuffle_hash")))
     spots = cut(spots.select("root", "side", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "place").alias("spot")), "places")
     drop(copies, asked, found, lines)
     best = cut(spots.groupBy("root", "side").agg(F.min("spot").alias("best"), F.count("*").alias("held")), "best")

@@ -28,6 +28,12 @@ SHARD_ENTRIES, BLOCK = 2_000_000, 1000
 PACKED, HOT, FETCHES = 1_000_000, 16, 2
 
 
+def sketches_of(column: pa.Array) -> np.ndarray:
+    """The 16-bit words of sketches one after the other; none is null."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16)
+
+
 def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(nodes, bands) 64-bit keys of consecutive register rows; the band is part of the key."""
     out = np.zeros((len(registers), bands), np.uint64)
@@ -74,7 +80,7 @@ def _packer(bands: int, rows: int, width: int, shards: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            registers = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, width)
+            registers = sketches_of(batch.column("sketch")).reshape(-1, width)
             held_k.append(band_keys(registers, bands, rows).ravel())
             held_n.append(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), bands))
             count += len(held_k[-1])
@@ -201,7 +207,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[di
         if not batch.num_rows:
             continue
         now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names if k != "sketch"}
-        now["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+        now["sketch"] = sketches_of(batch.column("sketch")).reshape(batch.num_rows, -1)
         if rest is not None:
             now = {k: np.concatenate((rest[k], v)) for k, v in now.items()}
         cuts = np.flatnonzero(now["group"][1:] != now["group"][:-1])
