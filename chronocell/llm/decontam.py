@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose case and outer signs; numbers, names (capitalised inside a sentence) and units after numbers become typed
-placeholders; a run of placeholders of one type inside a sentence is one place. Hashes of template windows of WINDOW
-places join documents with benchmark items. Diagonals (document place minus item place) at most WINDOW apart are chained
+placeholders; a run of placeholders of one type inside a sentence is one place. Documents and benchmark items are joined
+on the hashes of template windows of WINDOW places: both sides are tables of hashes, and a bitset of fixed size, made of
+the benchmark's hashes and broadcast, keeps windows that can't meet any from being rows at all. Texts of the pairs that
+meet are then compared. Diagonals (document place minus item place) at most WINDOW apart are chained
 in the order of both texts, so words put in or left out do not end a match; on all of a chain the slots behind the
 placeholders must agree: one item value always stands for one document value, and one name of the document for one of
 the item (numbers may meet by chance: 2 and 3 may be asked again as 5 and 5). So items that were asked again with other
@@ -13,8 +15,6 @@ every form, each opener as a literal word and as a name. The matches of the lite
 ordinary opener that differs takes nothing from them. Stays out: an opener that is the first of several words of a name
 does not join their run, so windows over it don't match a name of one word.
 
-The benchmark goes to the workers in blocks of bounded size; each further block is one more pass over the documents.
-
 Defined cases: null or empty texts on either side match nothing; an item shorter than a window is one window as long as
 itself (at least LEAST_LITERALS literal words); an item without a window (fewer literal words, or dense with placeholders)
 is found as a verbatim copy alone, by the hash of all its words without types, and counts as one window: asked again with
@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, fresh, lower_bytes, mix64, session_of, slices, small_batches, span_hashes, words_of
+from .common import bytes_of, cut, drop, fresh, lower_bytes, mix64, session_of, slices, small_batches, span_hashes, words_of
 
 WINDOW, LEAST_LITERALS = 8, 5
-#: Items in one pass over the documents are at most about this many characters long together.
-BLOCK_CHARS = 32_000_000
+#: A task indexes items of about this many bytes together.
+BLOCK_CHARS = 1 << 18
+#: Bits of the broadcast bitset (a power of two): 8 MB, whatever the benchmark's size.
+FILTER_BITS = 1 << 26
 #: Units.
 UNITS = frozenset(b"km m cm mm kg g mg l ml s ms min h hz khz mhz ghz kb mb gb tb usd eur gbp kwh kw w v a c f mph kmh percent".split())
 WITH_UNIT = re.compile(rb"[+-]?[0-9]+(?:[.,][0-9]+)*([a-z]{1,7})")
@@ -174,17 +176,20 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words: list[tuple[int, list[tuple[bytes, ...]], np.ndarray, np.ndarray, int, int]] = []
+        self.ids = [item_id for item_id, _ in items]
+        self.numbers: list[int] = []  # of the items in self.words
         by: dict[int, list[tuple[np.ndarray, ...]]] = {}
         c = Canon(pa.array([t for _, t in items], pa.string()))
         verbatim: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for (item_id, _), a, b, start, end in zip(items, c.first[:-1], c.first[1:], c.raw_first[:-1], c.raw_first[1:]):
+        for nth, ((item_id, _), a, b, start, end) in enumerate(zip(items, c.first[:-1], c.first[1:], c.raw_first[:-1], c.raw_first[1:])):
             h, kind, opener = c.h[a:b], c.kind[a:b], c.opener[a:b]
             size = min(WINDOW, len(h))
             if size >= LEAST_LITERALS and len((got := windows(h, kind, opener, size))[0]):
                 by.setdefault(size, []).append((got[0], np.full(len(got[0]), len(self.words)), *got[1:]))
+                self.numbers.append(nth)
                 self.words.append((item_id, [c.run(i) for i in range(a, b)], kind, opener, int((~got[2]).sum()), size))
             elif (c.ends[start:end] > c.starts[start:end]).any():
-                verbatim[int(end - start)].append((int(start), item_id))
+                verbatim[int(end - start)].append((int(start), nth))
         self.tables = {}
         for size, parts in by.items():
             h, *more = (np.concatenate(x) for x in zip(*parts))
@@ -197,6 +202,15 @@ class Benchmark:
             order = np.argsort(h, kind="stable")
             self.verbatim[size] = (np.unique(c.raw[at]), h[order], [whole[i][1] for i in order])
 
+    def keys(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(0-based item, size, distinct keys) by which documents meet items: of windows, or of whole sequences (size below 0)."""
+        for size, (h, item, *_) in self.tables.items():
+            for i in np.unique(item).tolist():
+                yield self.numbers[i], size, np.unique(h[item == i])
+        for size, (_, h, items) in self.verbatim.items():
+            for x, i in zip(h.tolist(), items):
+                yield i, -size, np.array([x], np.uint64)
+
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, bool, bool]]:
         """(text, item_id, matched windows, the item's windows, consistent slots, exact slots) by the best chain of diagonals."""
         c = Canon(texts)
@@ -231,7 +245,7 @@ class Benchmark:
             left, right = np.searchsorted(table, got, side="left"), np.searchsorted(table, got, side="right")
             for t, a, b in sorted(set(zip(text[left < right].tolist(), left[left < right].tolist(), right[left < right].tolist()))):
                 out |= dict.fromkeys((t, size, j) for j in range(a, b))
-        return [(t, self.verbatim[size][2][j]) for t, size, j in out]
+        return [(t, self.ids[self.verbatim[size][2][j]]) for t, size, j in out]
 
     def _slots(self, item: int, shift: int, spots: set[int], c: Canon) -> tuple[bool, dict, bool]:
         """Whether the slots of a diagonal agree, the document's values by the item's, and whether they are equal."""
@@ -308,40 +322,137 @@ class Benchmark:
         return True, n, exact
 
 
+KEY = np.uint64(0xA24BAED4963EE407)
+
+
+def keyed(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of windows of a size as the keys of the join: sizes don't meet each other."""
+    with np.errstate(over="ignore"):
+        return mix64(h + np.uint64(size % (1 << 32)) * KEY).view(np.int64)
+
+
+def _item_keys(block_chars: int):
+    """Rows (item, text) -> (item, size, key) of every key of each item, and under a null item the keys of the first words of sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", block_chars):
+                items = part.column("item").to_pylist()
+                held = Benchmark(list(zip(items, part.column("text").to_pylist())))
+                rows = [(items[i], size, keyed(h, size)) for i, size, h in held.keys()]
+                rows += [(None, -size, keyed(heads, 0)) for size, (heads, *_) in held.verbatim.items()]
+                for item, size, key in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(key), pa.int64()), pa.array([size] * len(key), pa.int64()), pa.array(key)], ["item", "size", "key"])
+
+    return run
+
+
+class KeyFilter:
+    """Which keys the benchmark may have; one bit of FILTER_BITS for each."""
+
+    def __init__(self, words: np.ndarray, sizes: list[int]):
+        self.words, self.sizes = words, sizes
+
+    def may_have(self, key: np.ndarray) -> np.ndarray:
+        spot = key.view(np.uint64) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)
+        return (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(text, key) of the keys of texts that pass, each once."""
+        c, found = Canon(texts), []
+        for size in self.sizes:
+            if size > 0:
+                h, place, _ = windows(c.h, c.kind, c.opener, size)
+                first, length = c.first, size
+            else:
+                place = np.flatnonzero(self.may_have(keyed(c.raw, 0)))
+                first, length = c.raw_first, -size
+                place = place[place + length <= len(c.raw)]
+                h = sequences(c.raw, place, length)
+            key = keyed(h, size)
+            ok = self.may_have(key)
+            key, place = key[ok], place[ok]
+            text = np.searchsorted(first, place, side="right") - 1
+            inside = place + length <= first[text + 1]  # no window goes beyond its text's end
+            found.append((text[inside], key[inside]))
+        text, key = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.lexsort((key, text))
+        text, key = text[order], key[order]
+        new = np.concatenate(([True], (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(key) else np.zeros(0, bool)
+        return text[new], key[new]
+
+
+def key_filter(keys: DataFrame) -> KeyFilter:
+    """The filter of (item, size, key) rows: at most FILTER_BITS / 64 words and one number for each size come to the driver."""
+    spot = F.shiftrightunsigned("key", 64 - FILTER_BITS.bit_length() + 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot").bitwiseAND(63).cast("int"))
+    rows = keys.select(spot.alias("spot")).select(F.shiftright("spot", 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return KeyFilter(words.view(np.uint64), sorted(r["size"] for r in keys.where("item is not null").select("size").distinct().collect()))
+
+
+def _candidates(shared):
+    """Rows (doc_id, tie, text) -> those that may meet an item, with their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                text, key = shared.value.of(part.column("text"))
+                if not len(text):
+                    continue
+                which, start = np.unique(text, return_index=True)
+                own = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)), pa.int32()), pa.array(key))
+                rows = part.take(pa.array(which))
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("doc_id", "tie", "text")], own], ["doc_id", "tie", "text", "keys"])
+
+    return run
+
+
+FOUND = "doc_id long, tie long, item_id long, windows long, item_windows long, consistent boolean, exact boolean"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, tie, text, item_id, item_text), best in runs of one item -> what the texts share."""
+    names = [x.split(" ")[0] for x in FOUND.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
+    for batch in batches:
+        ids, ties, items, said = (batch.column(c).to_pylist() for c in ("doc_id", "tie", "item_id", "item_text"))
+        start, rows = 0, []
+        while start < len(ids):
+            stop = start
+            while stop < len(ids) and (items[stop], said[stop]) == (items[start], said[start]):
+                stop += 1
+            held = Benchmark([(items[start], said[start])])
+            for few in slices(batch.slice(start, stop - start), "text"):
+                rows += [(ids[start + t], ties[start + t], *m) for t, *m in held.matches(few.column("text"))]
+                start += few.num_rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs: (doc_id, text), benchmark: (item_id, text) -> one row per document and item that share a window:
-    doc_id, tie (hash of the text), item_id, windows, item_windows, consistent, exact, contaminated.
+    doc_id, tie (hash of the text), item_id (-1 for null), windows, item_windows, consistent, exact, contaminated.
 
     contaminated: slots are consistent and at least `coverage` of the item's windows match on one chain of diagonals.
     """
     spark = session_of(docs)
     small_batches(spark)
-    total = benchmark.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    blocks = int(total // block_chars + 1)
-    schema = "doc_id long, tie long, item_id long, windows long, item_windows long, consistent boolean, exact boolean"
-    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-    out = None
-    for b in range(blocks):
-        part = benchmark.where("text is not null").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.select("item_id", "text").collect())  # at most about block_chars
-        shared = spark.sparkContext.broadcast(Benchmark(items))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names = ["doc_id", "tie", "item_id", "windows", "item_windows", "consistent", "exact"]
-            for batch in batches:
-                for few in slices(batch, "text"):
-                    ids, ties = few.column("doc_id").to_pylist(), few.column("tie").to_pylist()
-                    rows = [(ids[t], ties[t], *m) for t, *m in shared.value.matches(few.column("text"))]
-                    if rows:
-                        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-        got = source.mapInArrow(search, schema)
-        if blocks > 1:  # one block of the benchmark is held at a time
-            got = cut(got, "block-leaks")
-            shared.destroy()
-        out = got if out is None else out.unionByName(got)
-    return out.withColumn("contaminated", F.col("consistent") & (F.col("windows") >= coverage * F.col("item_windows")))
+    items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text", F.xxhash64("item_id", "text").alias("item"))
+    items = cut(items.dropDuplicates(["item"]), "items")
+    keys = cut(items.select("item", "text").mapInArrow(_item_keys(block_chars), "item long, size long, key long"), "item-keys")
+    shared = spark.sparkContext.broadcast(key_filter(keys))
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    near = cut(texts.mapInArrow(_candidates(shared), "doc_id long, tie long, text string, keys array<long>"), "candidates")
+    # rows equal in doc_id and text meet the same items, so they go through once and count as often as they stand there
+    asked = near.select("doc_id", "tie", F.explode("keys").alias("key")).distinct()
+    pairs = cut(asked.join(keys.where("item is not null").select("item", "key"), "key").select("doc_id", "tie", "item").distinct(), "pairs")
+    met = pairs.withColumnsRenamed({"doc_id": "k", "tie": "t"}).join(near.drop("keys"), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")))
+    met = met.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("doc_id", "tie", "text", "item_id", "item_text")
+    found = cut(met.sortWithinPartitions("item_id").mapInArrow(_compare, FOUND), "leaks")
+    drop(items, keys, near, pairs)
+    return found.withColumn("contaminated", F.col("consistent") & (F.col("windows") >= coverage * F.col("item_windows")))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
