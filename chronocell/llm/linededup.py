@@ -182,7 +182,7 @@ def doubled_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     best = cut(spots.groupBy("root", "side").agg(F.min("spot").alias("best"), F.count("*").alias("held")), "best")
     often, rest = best.where(F.col("held") > HOT_SHARE * total), best.where(F.col("held") <= HOT_SHARE * total)
     often, key = F.broadcast(often), ["root", "side"]  # fewer than 1 / HOT_SHARE rows
-    gone = spots.join(often, key).unionByName(spots.join(often, key, "left_anti").join(rest, key)).where("spot <> best")
+    gone = spots.join(often, key).unionByName(spots.join(often, key, "left_anti").join(rest.hint("shuffle_hash"), key)).where("spot <> best")
     return gone.groupBy("spot.doc_id", "spot.tie").agg(F.sort_array(F.collect_set("spot.place")).alias("places"))
 
 

@@ -115,7 +115,7 @@ def shared_buckets(nodes: DataFrame, count: int, bands: int, rows: int, width: i
     packed = nodes.select("node", "sketch").mapInArrow(_packer(bands, rows, width, shards), "shard long, keys binary, nodes binary")
     # a hot key's nodes come from several tasks, and a node may have been packed more than once
     shared = cut(packed.groupBy("shard").applyInArrow(_shared_keys, "bucket long, node long").distinct(), "buckets")
-    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").hint("shuffle_hash")
     sized = cut(shared.join(sizes, "bucket"), "sized-buckets")
     drop(shared)
     # the few nodes are the hashed side, so that the wide rows are dealt but not sorted; some at a time, so that less lies on disk
@@ -326,7 +326,7 @@ def linked_components(nodes: DataFrame, count: int, texts: Callable[[DataFrame],
     spark = session_of(nodes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized, needed = shared_buckets(nodes, count, bands, rows, width)
-    sketches = needed.select("node", "n", "sketch")
+    sketches = needed.select("node", "n", "sketch").hint("shuffle_hash")  # one row a node, so that bucket rows are dealt but not sorted
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The links among pairs; only the texts of their nodes are fetched."""
@@ -359,6 +359,6 @@ def linked_components(nodes: DataFrame, count: int, texts: Callable[[DataFrame],
 
 
 def with_texts(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b) pairs and (node, text), one row per node -> (a, b, text_a, text_b)."""
-    left = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return left.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    """(a, b) pairs and (node, text), one row per node -> (a, b, text_a, text_b); pairs are hashed, so texts are not sorted."""
+    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(pairs.hint("shuffle_hash"), "a")
+    return held.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(left.hint("shuffle_hash"), "b").select("a", "b", "text_a", "text_b")
