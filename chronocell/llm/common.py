@@ -48,15 +48,6 @@ def cut(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return out
 
 
-def together(tables: list[DataFrame]) -> DataFrame:
-    """Tables made by cut() as one."""
-    out = tables[0]
-    for more in tables[1:]:
-        out = out.unionByName(more)
-    out._cut_at = [path for table in tables for path in table._cut_at]
-    return out
-
-
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut(), once what was made from them is written itself."""
     for table in tables:

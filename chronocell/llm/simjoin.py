@@ -20,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, mix64, session_of, together
+from .common import components, cut, drop, mix64, session_of, setting
 
 #: Entries of packed band keys that one shard holds (16 bytes each), and nodes in a block of a bucket.
 SHARD_ENTRIES, BLOCK = 2_000_000, 1000
-#: Entries a task packs at a time, nodes of a batch from which a key is hot, and parts in which the rows of nodes are fetched.
-PACKED, HOT, FETCHES = 1_000_000, 16, 2
+#: Entries a task packs at a time, and nodes of a batch from which a key is hot.
+PACKED, HOT = 1_000_000, 16
+#: Spark's settings of Bloom filters below joins, and the size of bucket rows up to which one is made.
+BLOOM, FILTERED = "spark.sql.optimizer.runtime.bloomFilter", "256MB"
 
 
 def sketches_of(column: pa.Array) -> np.ndarray:
@@ -118,12 +120,12 @@ def shared_buckets(nodes: DataFrame, count: int, bands: int, rows: int, width: i
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").hint("shuffle_hash")
     sized = cut(shared.join(sizes, "bucket"), "sized-buckets")
     drop(shared)
-    # the few nodes are the hashed side, so that the wide rows are dealt but not sorted; some at a time, so that less lies on disk
-    needed = []
-    for i in range(FETCHES):
-        own = sized.select("node").distinct().where(F.pmod("node", F.lit(FETCHES)) == i).hint("shuffle_hash")
-        needed.append(cut(nodes.where(F.pmod("node", F.lit(FETCHES)) == i).join(own, "node", "left_semi").dropDuplicates(["node"]), "needed"))
-    return sized, together(needed)
+    # The bucket rows are the hashed side, so the wide rows are dealt but not sorted. While they are few, Spark drops wide
+    # rows by a Bloom filter (of 8 MB at most) before the shuffle; beyond FILTERED all go through it, with the same result.
+    own = sized.select("node").where(F.col("size") > 1).hint("shuffle_hash")
+    with setting(session_of(nodes), f"{BLOOM}.applicationSideScanSizeThreshold", "0"), setting(session_of(nodes), f"{BLOOM}.creationSideThreshold", FILTERED):
+        needed = cut(nodes.join(own, "node", "left_semi").dropDuplicates(["node"]), "needed")
+    return sized, needed
 
 
 # ---- estimates ----------------------------------------------------------------------------------
@@ -142,6 +144,7 @@ def parities_of(h: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
 
 def parity_allows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     """False only where the sets can't reach the threshold: bits that differ are never more than the elements that do."""
+    a, b = (np.ascontiguousarray(x).view(np.uint64) for x in (a, b))
     return np.bitwise_count(a ^ b).sum(axis=1) <= (na + nb) * (1 - threshold) / (1 + threshold) + 1e-9
 
 
@@ -153,10 +156,14 @@ def minhash_estimate(threshold: float, width: int) -> Callable:
     """
 
     def keep(a, b, na, nb):
+        fewer = np.minimum(na, nb)
         equal = (a[:, :width] == b[:, :width]).sum(axis=1)
-        own = width * (1 - (1 - 1 / width) ** np.minimum(na, nb))
+        own = width * (1 - (1 - 1 / width) ** fewer)
         least = width * (threshold - 4.5 * np.sqrt(threshold * (1 - threshold) / own))
-        return (equal >= least) & parity_allows(a[:, width:], b[:, width:], na, nb, threshold) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9), equal
+        ok = (equal >= least) & (fewer >= threshold * np.maximum(na, nb) - 1e-9)
+        at = np.flatnonzero(ok)
+        ok[at] = parity_allows(a[at, width:], b[at, width:], na[at], nb[at], threshold)
+        return ok, equal
 
     return keep
 
