@@ -115,17 +115,30 @@ def pareto_mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, lim
     drop(base)
 
     place = F.struct("key", F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    left, out = sources.select("sid", "rest"), ranked.withColumn("extra", F.lit(0).cast("long"))
+    place = F.struct("key", F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    rest = cut(sources.select("sid", "rest"), "rest")
+    # what a round took is written, so that the next one starts from a table and not from the plans of all before it
+    out = cut(ranked.withColumn("extra", F.lit(0).cast("long")), "taken")
+    drop(ranked)
+
+    def taken(asked: DataFrame, last: DataFrame, takes) -> DataFrame:
+        more = asked.join(last, "sid", "left").withColumn("extra", F.col("extra") + F.coalesce(takes.cast("long"), F.lit(0))).drop("rest", "last")
+        new = cut(more, "taken")
+        drop(out)
+        return new
+
     for i in range(FILLS):
         fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
-        asked = out.join(left, "sid")
-        last = last_taken(asked.where(fits).select("sid", "key", "doc_id", "tie", "size"), left, bin_rows)
-        out = asked.join(last.select("sid", "last"), "sid", "left").withColumn("extra", F.col("extra") + F.coalesce((fits & (place <= F.col("last"))).cast("long"), F.lit(0))).drop("rest", "last")
-        left = cut(left.join(last.select("sid", "words"), "sid", "left").select("sid", (F.col("rest") - F.coalesce("words", F.lit(0))).alias("rest")), "left")
+        asked = out.join(rest, "sid")
+        last = last_taken(asked.where(fits).select("sid", "key", "doc_id", "tie", "size"), rest, bin_rows)
+        out = taken(asked, last.select("sid", "last"), fits & (place <= F.col("last")))
+        less = cut(rest.join(last.select("sid", "words"), "sid", "left").select("sid", (F.col("rest") - F.coalesce("words", F.lit(0))).alias("rest")), "rest")
+        drop(rest, last)
+        rest = less
     nearer = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("rest"))
-    asked = out.join(left, "sid")
-    end = cut(asked.where(nearer).groupBy("sid").agg(F.min(place).alias("end")), "ends")
-    out = asked.join(end, "sid", "left").withColumn("extra", F.col("extra") + F.coalesce((nearer & (place == F.col("end"))).cast("long"), F.lit(0)))
+    asked = out.join(rest, "sid")
+    end = cut(asked.where(nearer).groupBy("sid").agg(F.min(place).alias("last")), "ends")
+    out = taken(asked, end, nearer & (place == F.col("last")))
     out = out.withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(int(limit))))
     return out.select("doc_id", "tie", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.col("whole")).alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
