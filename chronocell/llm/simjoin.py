@@ -352,7 +352,8 @@ def linked_components(nodes: DataFrame, count: int, texts: Callable[[DataFrame],
     found = components(links)
     stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
-    rooted = cut(sized.select("bucket", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    # of a bucket of two the first round has compared the only pair
+    rooted = cut(sized.where("size > 2").select("bucket", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     dealt = _mixed_groups(rooted).join(sketches, "node").repartition(parts, "group").sortWithinPartitions("group")
     second = cut(dealt.mapInArrow(_round_two(keep, bands, rows), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     drop(sized, rooted, links)
