@@ -235,6 +235,44 @@ def test_language_model_scores(spark, corpus, bound):
     assert np.median(off) < 0.01 and max(off) < 0.1
 
 
+def test_language_model_shards_are_lean():
+    """Exact sums, and few bytes for each word or bigram that the chunks send."""
+    import tracemalloc
+
+    rng, ones, twos = np.random.default_rng(3), Counter(), Counter()
+    vocab = np.array([f"w{i}é".encode() for i in range(20_000)] + [b"\n"], object)
+    words, pairs_ = [], []
+    for chunk in range(100):
+        own, n = rng.choice(len(vocab), 2000, replace=False), rng.integers(0, 9, 2000)
+        ones.update(dict(zip(vocab[own].tolist(), n.tolist())))
+        words.append(("words", chunk, 0, b" ".join(vocab[own]), n.astype(np.uint32).tobytes()))
+        h = np.unique(rng.integers(0, 50_000, 8000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        twos.update(h.tolist())
+        pairs_.append(("bigrams", chunk, 0, h.tobytes(), np.ones(len(h), np.uint32).tobytes()))
+
+    def peak(rows):
+        table = pa.Table.from_batches([lmscore._messages(rows[i : i + 30]) for i in range(0, len(rows), 30)])
+        tracemalloc.start()
+        out = lmscore._add(1)(table).to_pylist()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    (bits, *sums), most = peak(words)
+    assert most < 80 * 200_000
+    kind = np.uint32 if len(sums[0]["data"]) == 4 * 2000 else np.int64
+    for sent, back in zip(words, sums):
+        own = sent[3].split(b" ")
+        assert back["chunk"] == sent[1] and np.frombuffer(back["data"], kind).tolist() == [ones[w] for w in own]
+        off = np.frombuffer(back["more"], np.uint8) - np.array([ones[w].bit_length() for w in own])
+        assert (off >= 0).all() and off.mean() < 0.01
+    assert np.frombuffer(bits["more"], np.float64).reshape(2, -1)[1].sum() == sum(ones.values())
+    (bits,), most = peak(pairs_)
+    assert most < 80 * sum(len(x[3]) // 8 for x in pairs_)
+    model = lmscore.Filter(1, {0: bits["data"]})
+    assert (model.levels(np.array(list(twos), np.uint64)) >= [n.bit_length() for n in twos.values()]).all()
+
+
 def plain_leaks(docs, bench):
     """(doc, item) pairs of texts without names and numbers: half of an item's windows stand in the document."""
     words = lambda t: [w for w in ((x.strip("\"'.,;:!?()[]{}<>*_`~$&#@%^=|/\\+-")).lower() for x in (t or "").split())]
