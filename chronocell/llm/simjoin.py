@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, drop, mix64, session_of, setting
 
-#: Entries of packed band keys that one shard holds (16 bytes each), and nodes in a block of a bucket.
+#: Entries of packed band keys that one shard holds (16 bytes each, some 14 on their way), and nodes in a block of a bucket.
 SHARD_ENTRIES, BLOCK = 2_000_000, 1000
 #: Entries a task packs at a time, and nodes of a batch from which a key is hot.
 PACKED, HOT = 1_000_000, 16
@@ -57,6 +57,26 @@ def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(44)).astype(np.int64) * shards) >> 20
 
 
+def _thin(key: np.ndarray) -> bytes:
+    """Keys as the first one and the steps from each to the next, in as many bytes as the largest step needs."""
+    if not len(key):
+        return b""
+    step = np.diff(key)  # a step back, which is rare, is a large one
+    width = (int(step.max(initial=0)).bit_length() + 7) // 8
+    return key[:1].tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _thick(data: bytes, count: int) -> np.ndarray:
+    """The keys of _thin()."""
+    step = np.zeros((count, 8), np.uint8)
+    if count:
+        held = np.frombuffer(data, np.uint8)
+        step[0] = held[:8]
+        width = (len(held) - 8) // max(1, count - 1)
+        step[1:, :width] = held[8:].reshape(count - 1, width)
+    return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _packer(bands: int, rows: int, width: int, shards: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_n, count, counter = [], [], 0, itertools.count()
@@ -74,7 +94,7 @@ def _packer(bands: int, rows: int, width: int, shards: int):
             at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
             ends = np.append(at[1:], len(shard))
             own = -1 - (TaskContext.get().partitionId() << 24) - next(counter)  # a shard for the hot keys' message alone
-            keys = [key[a:b].tobytes() for a, b in zip(at, ends)] + [hot_k.tobytes()]
+            keys = [_thin(key[a:b]) for a, b in zip(at, ends)] + [_thin(hot_k)]
             nodes = [node[a:b].tobytes() for a, b in zip(at, ends)] + [hot_n.tobytes()]
             out = pa.RecordBatch.from_arrays([pa.array(np.append(shard[at], own), pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], ["shard", "keys", "nodes"])
             return out if len(hot_k) else out.slice(0, len(at))
@@ -97,8 +117,9 @@ def _packer(bands: int, rows: int, width: int, shards: int):
 
 def _shared_keys(table: pa.Table) -> pa.Table:
     """The entries of a shard whose key several nodes have (and a few others), each once; of a message with a shard of its own, all."""
-    key = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
-    node = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()])
+    nodes = [np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()]
+    key = np.concatenate([_thick(x, len(n)) for x, n in zip(table.column("keys").to_pylist(), nodes)])
+    node = np.concatenate(nodes)
     if table.column("shard")[0].as_py() >= 0:
         order, leading = _by_key(key)
         same = leading[1:] == leading[:-1]

@@ -273,6 +273,34 @@ def test_language_model_shards_are_lean():
     assert (model.levels(np.array(list(twos), np.uint64)) >= [n.bit_length() for n in twos.values()]).all()
 
 
+def test_band_keys_travel_thin(monkeypatch):
+    """The keys of a message take less than their eight bytes, and shards find the buckets that whole keys have."""
+    rng = np.random.default_rng(5)
+    registers = rng.integers(0, 1 << 16, (63_000, 64)).astype(np.uint16)
+    registers[1000:1040] = registers[1000]  # a hot key in each band
+    registers[2000:2010, :4] = registers[2000, :4]
+    node = rng.integers(-(1 << 62), 1 << 62, len(registers))
+    monkeypatch.setattr(simjoin, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 7)}))}))
+    ends = np.arange(len(registers) + 1, dtype=np.int32) * 128
+    sketch = pa.Array.from_buffers(pa.binary(), len(registers), [None, pa.py_buffer(ends), pa.py_buffer(registers.tobytes())])
+    batch = pa.RecordBatch.from_arrays([pa.array(node), sketch], ["node", "sketch"])
+    messages = pa.Table.from_batches(simjoin._packer(16, 4, 64, 32)(iter([batch])))
+    whole, entries = sum(len(x) for name in ("keys", "nodes") for x in messages.column(name).to_pylist()), 16 * len(node)
+    assert sum(len(x) for x in messages.column("nodes").to_pylist()) == 8 * entries and whole < 14.5 * entries
+    found = defaultdict(set)
+    for shard in set(messages.column("shard").to_pylist()):
+        for r in simjoin._shared_keys(messages.filter(pa.compute.equal(messages.column("shard"), shard))).to_pylist():
+            found[r["bucket"]].add(r["node"])
+    expected = defaultdict(set)
+    for n, keys in zip(node.tolist(), simjoin.band_keys(registers, 16, 4).view(np.int64).tolist()):
+        for k in keys:
+            expected[k].add(n)
+    assert {k: v for k, v in found.items() if len(v) > 1} == {k: v for k, v in expected.items() if len(v) > 1}
+    for keys in ([], [5], [9, 9, 9], [3, 2, 1 << 63, (1 << 64) - 1, 0]):
+        keys = np.array(keys, np.uint64)
+        assert simjoin._thick(simjoin._thin(keys), len(keys)).tolist() == keys.tolist()
+
+
 def plain_leaks(docs, bench):
     """(doc, item) pairs of texts without names and numbers: half of an item's windows stand in the document."""
     words = lambda t: [w for w in ((x.strip("\"'.,;:!?()[]{}<>*_`~$&#@%^=|/\\+-")).lower() for x in (t or "").split())]
