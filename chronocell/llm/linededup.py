@@ -72,26 +72,27 @@ def joined(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate(([0], np.flatnonzero(data == 10) + 1))
 
 
-def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, HASHES + PARITY_BITS / 16) 16-bit registers and parity words, and the number of distinct shingles."""
+def ordered_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The hashes of all shingles in order, repeats too, each below its line's number."""
     x, n = shingles(data, offsets)
-    lines, shift = len(n), np.uint64(DISTINCT_BITS)
-    distinct = np.sort((np.repeat(np.arange(lines, dtype=np.uint64), n) << shift) | leading_hash(x))
-    distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))] if len(distinct) else distinct
-    count = np.diff(np.searchsorted(distinct, np.arange(lines + 1, dtype=np.uint64) << shift))
-    # in this order hashes that fall on one bit of the parity sketch are neighbours, and so are those of one bin
-    spot = (distinct >> np.uint64(DISTINCT_BITS - PARITY_BITS.bit_length() + 1)).astype(np.int64)
-    start = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1]))) if len(spot) else spot
-    odd = np.diff(np.append(start, len(spot))) & 1 == 1
-    spot = spot[start]
-    bits = np.zeros(lines * PARITY_BITS, bool)
-    bits[spot[odd]] = True
-    parity = np.packbits(bits.reshape(lines, PARITY_BITS), axis=1).view(np.uint16)
-    bin_ = spot // (PARITY_BITS // HASHES)
-    first = np.concatenate(([True], bin_[1:] != bin_[:-1])) if len(bin_) else bin_
+    hashes = (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(DISTINCT_BITS)) | leading_hash(x)
+    hashes.sort()
+    return hashes
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values starts."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def registers_of(hashes: np.ndarray, lines: int) -> np.ndarray:
+    """(lines, HASHES) 16-bit registers from hashes in order; repeats of a hash change nothing."""
+    bin_ = hashes >> np.uint64(DISTINCT_BITS - HASHES.bit_length() + 1)
+    first = _starts(bin_)
+    bin_ = bin_[first].astype(np.int64)
     registers, filled = np.zeros(lines * HASHES, np.uint16), np.zeros(lines * HASHES, bool)
-    registers[bin_[first]] = (distinct[start[first]] & np.uint64(0xFFFF)).astype(np.uint16)
-    filled[bin_[first]] = True
+    registers[bin_] = hashes[first].astype(np.uint16)
+    filled[bin_] = True
     empty = np.flatnonzero(~filled)
     for i in range(1, 6):  # most are filled by the first bins of their orders, the rest looks at whole orders
         other = empty // HASHES * HASHES + _ORDER[empty % HASHES, i]
@@ -100,16 +101,37 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         empty = empty[~ok]
     line = empty // HASHES * HASHES
     registers[empty] = registers[line + _ORDER[empty % HASHES, filled[line[:, None] + _ORDER[empty % HASHES]].argmax(axis=1)]]
-    return np.concatenate((registers.reshape(lines, HASHES), parity), axis=1), count
+    return registers.reshape(lines, HASHES)
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, HASHES + PARITY_BITS / 16) 16-bit registers and parity words, and the number of distinct shingles."""
+    lines, distinct = len(offsets) - 1, ordered_hashes(data, offsets)
+    distinct = distinct[_starts(distinct)]
+    count = np.diff(np.searchsorted(distinct, np.arange(lines + 1, dtype=np.uint64) << np.uint64(DISTINCT_BITS)))
+    # in this order hashes that fall on one bit of the parity sketch are neighbours
+    spot = (distinct >> np.uint64(DISTINCT_BITS - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    start = _starts(spot)
+    odd = np.diff(np.append(start, len(spot))) & 1 == 1
+    bits = np.zeros(lines * PARITY_BITS, bool)
+    bits[spot[start[odd]]] = True
+    parity = np.packbits(bits.reshape(lines, PARITY_BITS), axis=1).view(np.uint16)
+    return np.concatenate((registers_of(distinct, lines), parity), axis=1), count
 
 
-#: Hashes, signatures and unlike texts gain nothing from dictionaries.
-PACKING = {"compression": "zstd"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("node", "check", "sketch", "norm")}
-LINE = "doc_id {0}, tie long, place int, node long, check long, n long, sketch binary, norm string"
+def binaries(words: np.ndarray) -> pa.Array:
+    """The rows of an array as binary values."""
+    ends = np.arange(len(words) + 1, dtype=np.int32) * (words.shape[1] * words.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(words.tobytes())])
+
+
+#: Hashes, registers and unlike texts gain nothing from dictionaries, and little from zstd's higher levels.
+PACKING = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("node", "check", "sketch", "norm")}
+LINE = "doc_id {0}, tie long, place int, node long, check long, sketch binary, norm string"
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, tie, text) -> every line's place and 128-bit hash, with signature and text where the task meets a line first."""
+    """Rows (doc_id, tie, text) -> every line's place and 128-bit hash, with registers and text where the task meets a line first."""
     seen: set[bytes] = set()
     for batch in batches:
         for part in slices(batch, "text", SLICE):
@@ -124,16 +146,22 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             seen.add(node)
                             once.append(len(row)), new.append(line)
                         row.append(i), place.append(j), nodes.append(node)
-            words, count = signatures(*joined(new)) if new else (np.zeros((0, HASHES + PARITY_BITS // 16), np.uint16), np.zeros(0, np.int64))
+            words = registers_of(ordered_hashes(*joined(new)), len(new)) if new else np.zeros((0, HASHES), np.uint16)
             at = np.full(len(row), -1)
             at[once] = np.arange(len(once))
-            own = pa.array(at, pa.int64(), mask=at < 0)  # the signature of a place, or none
-            ends = np.arange(len(new) + 1, dtype=np.int32) * words.shape[1] * 2
-            sketch = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(words.tobytes())])
+            own = pa.array(at, pa.int64(), mask=at < 0)  # the registers of a place, or none
             both = np.frombuffer(b"".join(nodes), np.int64).reshape(-1, 2)
             of = pa.array(row, pa.int64())
-            columns = [part.column("doc_id").take(of), part.column("tie").take(of), pa.array(place, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(count, pa.int64()).take(own), sketch.take(own), pa.array(new, pa.string()).take(own)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "place", "node", "check", "n", "sketch", "norm"])
+            columns = [part.column("doc_id").take(of), part.column("tie").take(of), pa.array(place, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), binaries(words).take(own), pa.array(new, pa.string()).take(own)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "place", "node", "check", "sketch", "norm"])
+
+
+def _full_signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) of lines in buckets -> (node, n, sketch, text) with whole signatures."""
+    for batch in batches:
+        for part in slices(batch, "text", SLICE):
+            words, count = signatures(*joined(part.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(count, pa.int64()), binaries(words), part.column("text")], ["node", "n", "sketch", "text"])
 
 
 def shared_shingles(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +194,9 @@ def doubled_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     small_batches(session_of(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = cut(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_signer, LINE.format(kind)), "signatures", **PACKING)
-    first, total = lines.where("n is not null"), lines.count()
-    found = linked_components(first.select("node", "n", "sketch", F.col("norm").alias("text")), total, None, BANDS, ROWS, HASHES + PARITY_BITS // 16, minhash_estimate(threshold, HASHES), _verifier(threshold))
+    first, total = lines.where("sketch is not null"), lines.count()
+    full = lambda rows: rows.select("node", "text").mapInArrow(_full_signer, "node long, n long, sketch binary, text string")
+    found = linked_components(first.select("node", "sketch", F.col("norm").alias("text")), total, None, BANDS, ROWS, HASHES, minhash_estimate(threshold, HASHES), _verifier(threshold), full)
     # Only the places of linked lines, and of lines that occur more than once, are looked at. Copies are lines equal in
     # both hashes; a component is a root, or such a line that is linked to no other.
     places = lines.select("doc_id", "tie", "place", "node", "check")

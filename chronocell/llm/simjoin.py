@@ -1,8 +1,8 @@
 """Links between similar sets: banded registers, estimates inside buckets, exact verification, components.
 
 Nodes are distinct sets with a register row each. Band keys travel packed by shard, so only keys that two nodes share
-become rows; a key that many nodes of one batch share is a message of its own, and two of its nodes stand for it in the shard,
-so no shard gathers a hot key. Buckets are cut into blocks of bounded size. Round one links each block's likeliest
+become rows, counted in the shard; a key that many nodes of one batch share is a message of its own, and two of its nodes stand
+for it in the shard, so no shard gathers a hot key; the nodes of such keys alone are counted over all shards. Buckets are cut into blocks of bounded size. Round one links each block's likeliest
 pairs as a forest. Round two looks at buckets whose nodes are still in several components: the nodes of the component
 with the most of them (the major) meet the others (the strays), and strays meet each other, block by block; pairs that
 the estimate can't rule out go out once, in the first band they share. Every pair is verified on full sets by the
@@ -22,10 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, drop, mix64, session_of, setting
 
+#: Spark's setting of the rows that go to Python at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Entries of packed band keys that one shard holds (16 bytes each, some 14 on their way), and nodes in a block of a bucket.
 SHARD_ENTRIES, BLOCK = 2_000_000, 1000
 #: Entries a task packs at a time, and nodes of a batch from which a key is hot.
 PACKED, HOT = 1_000_000, 16
+#: Rows of sketches that go to Python at once; texts never go with them.
+SKETCHES = 4096
 #: Spark's settings of Bloom filters below joins, and the size of bucket rows up to which one is made.
 BLOOM, FILTERED = "spark.sql.optimizer.runtime.bloomFilter", "256MB"
 
@@ -82,30 +87,33 @@ def _packer(bands: int, rows: int, width: int, shards: int):
         held_k, held_n, count, counter = [], [], 0, itertools.count()
 
         def flush():
-            key, node = np.concatenate(held_k), np.concatenate(held_n)
+            node, once = np.unique(np.concatenate(held_n), return_index=True)  # so a hot key's first entries are of two nodes
+            key, node = np.concatenate(held_k)[once].ravel(), np.repeat(node, bands)
             order, _ = _by_key(key)
             key, node = key[order], node[order]
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(start, len(key)))
             nth = np.arange(len(key)) - np.repeat(start, size)
             ready = (np.repeat(size, size) > HOT) & (nth >= 2)
+            hot = np.unique(key[start[size > HOT]])
             hot_k, hot_n, key, node = key[ready], node[ready], key[~ready], node[~ready]
-            shard = _shard_of(key, shards)
+            shard, hot_at = _shard_of(key, shards), _shard_of(hot, shards)
             at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
             ends = np.append(at[1:], len(shard))
             own = -1 - (TaskContext.get().partitionId() << 24) - next(counter)  # a shard for the hot keys' message alone
             keys = [_thin(key[a:b]) for a, b in zip(at, ends)] + [_thin(hot_k)]
             nodes = [node[a:b].tobytes() for a, b in zip(at, ends)] + [hot_n.tobytes()]
-            out = pa.RecordBatch.from_arrays([pa.array(np.append(shard[at], own), pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], ["shard", "keys", "nodes"])
+            marks = [hot[a:b].tobytes() for a, b in zip(np.searchsorted(hot_at, shard[at]), np.searchsorted(hot_at, shard[at], "right"))] + [b""]
+            out = pa.RecordBatch.from_arrays([pa.array(np.append(shard[at], own), pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary()), pa.array(marks, pa.binary())], ["shard", "keys", "nodes", "hot"])
             return out if len(hot_k) else out.slice(0, len(at))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             registers = sketches_of(batch.column("sketch")).reshape(-1, width)
-            held_k.append(band_keys(registers, bands, rows).ravel())
-            held_n.append(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), bands))
-            count += len(held_k[-1])
+            held_k.append(band_keys(registers, bands, rows))
+            held_n.append(batch.column("node").to_numpy(zero_copy_only=False))
+            count += held_k[-1].size
             if count > PACKED:
                 yield flush()
                 held_k, held_n, count = [], [], 0
@@ -116,11 +124,13 @@ def _packer(bands: int, rows: int, width: int, shards: int):
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
-    """The entries of a shard whose key several nodes have (and a few others), each once; of a message with a shard of its own, all."""
+    """The entries of a shard whose key several nodes have, each once, with the key's number of nodes; of a message with a
+    shard of its own, all. The number is 0 where a key is hot in some batch, so that other shards hold nodes of it too."""
     nodes = [np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()]
     key = np.concatenate([_thick(x, len(n)) for x, n in zip(table.column("keys").to_pylist(), nodes)])
     node = np.concatenate(nodes)
-    if table.column("shard")[0].as_py() >= 0:
+    usual = table.column("shard")[0].as_py() >= 0
+    if usual:
         order, leading = _by_key(key)
         same = leading[1:] == leading[:-1]
         many = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(key) else order
@@ -128,24 +138,35 @@ def _shared_keys(table: pa.Table) -> pa.Table:
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) if len(key) else np.zeros(0, bool)
-    return pa.table({"bucket": pa.array(key[new].view(np.int64)), "node": pa.array(node[new])})
+    key, node, size = key[new], node[new], np.zeros(new.sum(), np.int64)
+    if usual and len(key):
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        size = np.repeat(size, size)
+        key, node, size = key[size > 1], node[size > 1], size[size > 1]  # a hot key has two nodes here
+        size[np.isin(key, np.frombuffer(b"".join(table.column("hot").to_pylist()), np.uint64))] = 0
+    return pa.table({"bucket": pa.array(key.view(np.int64)), "node": pa.array(node), "size": pa.array(size)})
 
 
-def shared_buckets(nodes: DataFrame, count: int, bands: int, rows: int, width: int) -> tuple[DataFrame, DataFrame]:
+def shared_buckets(nodes: DataFrame, count: int, bands: int, rows: int, width: int, full: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes: (node, n, sketch, more columns), repeats allowed -> (bucket, node, size) of buckets with several nodes, and
-    the rows of the nodes in them, one for each. count: about how many nodes there are."""
+    the rows of the nodes in them, one for each. count: about how many nodes there are; full: see linked_components()."""
     shards = max(32, count * bands // SHARD_ENTRIES + 1)
-    packed = nodes.select("node", "sketch").mapInArrow(_packer(bands, rows, width, shards), "shard long, keys binary, nodes binary")
+    packed = nodes.select("node", "sketch").mapInArrow(_packer(bands, rows, width, shards), "shard long, keys binary, nodes binary, hot binary")
+    with setting(session_of(nodes), BATCH, SKETCHES):
+        shared = cut(packed.groupBy("shard").applyInArrow(_shared_keys, "bucket long, node long, size long"), "buckets")
     # a hot key's nodes come from several tasks, and a node may have been packed more than once
-    shared = cut(packed.groupBy("shard").applyInArrow(_shared_keys, "bucket long, node long").distinct(), "buckets")
-    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").hint("shuffle_hash")
-    sized = cut(shared.join(sizes, "bucket"), "sized-buckets")
+    split = shared.where("size = 0").select("bucket", "node").distinct()
+    sizes = split.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").hint("shuffle_hash")
+    sized = cut(shared.where("size > 0").unionByName(split.join(sizes, "bucket")), "sized-buckets")
     drop(shared)
     # The bucket rows are the hashed side, so the wide rows are dealt but not sorted. While they are few, Spark drops wide
     # rows by a Bloom filter (of 8 MB at most) before the shuffle; beyond FILTERED all go through it, with the same result.
     own = sized.select("node").where(F.col("size") > 1).hint("shuffle_hash")
+    wide = nodes.drop("sketch") if full else nodes
     with setting(session_of(nodes), f"{BLOOM}.applicationSideScanSizeThreshold", "0"), setting(session_of(nodes), f"{BLOOM}.creationSideThreshold", FILTERED):
-        needed = cut(nodes.join(own, "node", "left_semi").dropDuplicates(["node"]), "needed")
+        needed = wide.join(own, "node", "left_semi").dropDuplicates(["node"])
+        needed = cut(full(needed) if full else needed, "needed")
     return sized, needed
 
 
@@ -176,12 +197,14 @@ def minhash_estimate(threshold: float, width: int) -> Callable:
     first `width` are parity bits of the sets.
     """
 
+    sizes = 64 * width  # of such sets on, all registers are their own
+    own = width * (1 - (1 - 1 / width) ** np.arange(1, sizes + 1))
+    least = width * (threshold - 4.5 * np.sqrt(threshold * (1 - threshold) / own))
+
     def keep(a, b, na, nb):
         fewer = np.minimum(na, nb)
-        equal = (a[:, :width] == b[:, :width]).sum(axis=1)
-        own = width * (1 - (1 - 1 / width) ** fewer)
-        least = width * (threshold - 4.5 * np.sqrt(threshold * (1 - threshold) / own))
-        ok = (equal >= least) & (fewer >= threshold * np.maximum(na, nb) - 1e-9)
+        equal = np.bitwise_count(np.packbits(a[:, :width] == b[:, :width], axis=1)).sum(axis=1, dtype=np.int64)
+        ok = (equal >= least[np.clip(fewer, 1, sizes) - 1]) & (fewer >= threshold * np.maximum(na, nb) - 1e-9)
         at = np.flatnonzero(ok)
         ok[at] = parity_allows(a[at, width:], b[at, width:], na[at], nb[at], threshold)
         return ok, equal
@@ -344,16 +367,18 @@ def _mixed_groups(rooted: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.explode(places)).select("at.group", "node", "root", "stray", "own", "at.left", "at.right", "bucket")
 
 
-def linked_components(nodes: DataFrame, count: int, texts: Callable[[DataFrame], DataFrame] | None, bands: int, rows: int, width: int, keep: Callable, verifier: Callable) -> DataFrame:
+def linked_components(nodes: DataFrame, count: int, texts: Callable[[DataFrame], DataFrame] | None, bands: int, rows: int, width: int, keep: Callable, verifier: Callable, full: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of every node with a verified link.
 
     nodes: (node, n, sketch), repeats allowed, with a column text if texts is None; count: about how many there are;
     texts: a table of nodes -> their (node, text), one row a node;
-    verifier: Arrow batches of (a, b, text_a, text_b) -> the (a, b) that are links.
+    verifier: Arrow batches of (a, b, text_a, text_b) -> the (a, b) that are links;
+    full: if given, nodes holds (node, sketch, more columns) with the banded registers alone as sketch, and full makes
+    (node, n, sketch, text) with whole sketches of the rows without sketch; only nodes in buckets pass it.
     """
     spark = session_of(nodes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sized, needed = shared_buckets(nodes, count, bands, rows, width)
+    sized, needed = shared_buckets(nodes, count, bands, rows, width, full)
     sketches = needed.select("node", "n", "sketch").hint("shuffle_hash")  # one row a node, so that bucket rows are dealt but not sorted
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -368,7 +393,8 @@ def linked_components(nodes: DataFrame, count: int, texts: Callable[[DataFrame],
 
     group = F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK).cast("long"))).alias("group")
     dealt = sized.select(group, "node").join(sketches, "node").repartition(parts, "group").sortWithinPartitions("group")
-    first = cut(dealt.mapInArrow(_round_one(keep), "a long, b long").distinct(), "pairs")
+    with setting(spark, BATCH, SKETCHES):
+        first = cut(dealt.mapInArrow(_round_one(keep), "a long, b long").distinct(), "pairs")
     links = verify(first)
     found = components(links)
     stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -376,7 +402,8 @@ def linked_components(nodes: DataFrame, count: int, texts: Callable[[DataFrame],
     # of a bucket of two the first round has compared the only pair
     rooted = cut(sized.where("size > 2").select("bucket", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     dealt = _mixed_groups(rooted).join(sketches, "node").repartition(parts, "group").sortWithinPartitions("group")
-    second = cut(dealt.mapInArrow(_round_two(keep, bands, rows), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    with setting(spark, BATCH, SKETCHES):
+        second = cut(dealt.mapInArrow(_round_two(keep, bands, rows), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     drop(sized, rooted, links)
     if second.isEmpty():
         drop(first, second, needed)

@@ -301,6 +301,48 @@ def test_band_keys_travel_thin(monkeypatch):
         assert simjoin._thick(simjoin._thin(keys), len(keys)).tolist() == keys.tolist()
 
 
+def test_shards_count_their_buckets(monkeypatch):
+    """A node packed twice makes no bucket of its own; sizes are counted in the shard, but for keys that are hot in a batch."""
+    rng = np.random.default_rng(6)
+    registers = rng.integers(0, 1 << 16, (300, 64)).astype(np.uint16)
+    registers[10:13, :4] = registers[10, :4]
+    registers[100:140] = registers[100]  # hot in each band
+    registers[201] = registers[200]
+    node = rng.integers(-(1 << 62), 1 << 62, len(registers))
+    monkeypatch.setattr(simjoin, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 7)}))}))
+
+    def messages(at):
+        batch = pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array([r.tobytes() for r in registers[at]], pa.binary())], ["node", "sketch"])
+        return list(simjoin._packer(16, 4, 64, 32)(iter([batch])))
+
+    # the first task meets one node twenty times more than the one that shares its keys, the second most nodes again
+    packed = pa.Table.from_batches(messages(np.r_[0:120, [200] * 20, 201]) + messages(np.r_[5:200, 202:300]))
+    found, sizes = defaultdict(set), defaultdict(set)
+    for shard in set(packed.column("shard").to_pylist()):
+        for r in simjoin._shared_keys(packed.filter(pa.compute.equal(packed.column("shard"), shard))).to_pylist():
+            found[r["bucket"]].add(r["node"]), sizes[r["bucket"]].add(r["size"])
+    expected = defaultdict(set)
+    for n, keys in zip(node.tolist(), simjoin.band_keys(registers, 16, 4).view(np.int64).tolist()):
+        for k in keys:
+            expected[k].add(n)
+    assert found == {k: v for k, v in expected.items() if len(v) > 1}
+    assert sizes == {k: {len(v) if len(v) < 40 else 0} for k, v in found.items()}
+
+
+def test_lines_carry_registers_and_full_signatures_only_in_buckets():
+    """A line's row holds 64 registers and nothing more; the full signature of a line in a bucket begins with the same ones."""
+    texts = ["A line of its own\n\n  a Line of its own  \nshort", "-" * 300 + "\nein längerer Text über 7 Äpfel, über 7 Äpfel", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, 0]), pa.array(texts)], ["doc_id", "tie", "text"])
+    lines = pa.Table.from_batches(linededup._signer(iter([batch])))
+    first = lines.filter(pa.compute.is_valid(lines.column("sketch"))).combine_chunks()
+    assert lines.num_rows == 5 and first.num_rows == 4 and {len(x) for x in first.column("sketch").to_pylist()} == {2 * linededup.HASHES}
+    rows = first.select(["node", "norm"]).rename_columns(["node", "text"]).to_batches()[0]
+    full = pa.Table.from_batches(linededup._full_signer(iter([rows])))
+    assert [x[: 2 * linededup.HASHES] for x in full.column("sketch").to_pylist()] == first.column("sketch").to_pylist()
+    sets = [{x.encode()[i : i + 7] for i in range(max(1, len(x.encode()) - 6))} for x in rows.column("text").to_pylist()]
+    assert full.column("n").to_pylist() == [len(x) for x in sets] and full.column("node").to_pylist() == rows.column("node").to_pylist()
+
+
 def plain_leaks(docs, bench):
     """(doc, item) pairs of texts without names and numbers: half of an item's windows stand in the document."""
     words = lambda t: [w for w in ((x.strip("\"'.,;:!?()[]{}<>*_`~$&#@%^=|/\\+-")).lower() for x in (t or "").split())]
