@@ -405,7 +405,8 @@ def lambda_filter(spark, sf):
 
 @query(f"WITH v AS (SELECT * FROM ({DUP}) {LATEST}), n AS (SELECT tag_id, (row_number() OVER (PARTITION BY tag_id ORDER BY sample_time) - 1) // 10 AS page, sample_time FROM v) SELECT tag_id, page, count(*) AS samples, min(sample_time) AS first_time, max(sample_time) AS last_time FROM n GROUP BY 1, 2")
 def lambda_per_page(spark, sf):
-    one = lambda p: p.groupby(["tag_id", "page"], as_index=False).agg(samples=("sample_time", "size"), first_time=("sample_time", "min"), last_time=("sample_time", "max"))
+    each = lambda p: p.group_by(["tag_id", "page"], use_threads=False).aggregate([([], "count_all"), ("sample_time", "min"), ("sample_time", "max")])
+    one = lambda p: each(p).select(["tag_id", "page", "count_all", "sample_time_min", "sample_time_max"])
     return aggregates.map_numbered(_plain(spark, sf), ["tag_id"], ["sample_time"], 10, one, "tag_id long, page long, samples long, first_time long, last_time long")
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
+RUN_ROWS = 10_000  # about as many rows of whole pages go to one call of a map over numbered pages; a larger page goes whole
 
 
 def map_pages(df: DataFrame, page_map: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, rows_per_page: int | None = None) -> DataFrame:
@@ -25,14 +28,45 @@ def map_pages(df: DataFrame, page_map: Callable[[pd.DataFrame], pd.DataFrame | N
     return df.mapInPandas(run, schema)
 
 
+def _placed(df: DataFrame, keys: list[str], order: list[str], rows_per_page: int) -> DataFrame:
+    """Adds _place, the 0-based place of each row inside its keys, and page, the place's page."""
+    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return placed.withColumn("page", F.floor(F.col("_place") / rows_per_page).cast("long"))
+
+
 def numbered_pages(df: DataFrame, keys: list[str], order: list[str], rows_per_page: int) -> DataFrame:
     """Adds page: the 0-based page of each row inside its keys."""
-    return df.withColumn("page", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / rows_per_page).cast("long"))
+    return _placed(df, keys, order, rows_per_page).drop("_place")
+
+
+def map_numbered(df: DataFrame, keys: list[str], order: list[str], rows_per_page: int, page_map: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+    """page_map over pages cut inside each key: a page is at most rows_per_page rows of one key, with its number as page.
 
+    Pages may be small and many, so page_map gets an Arrow table of many whole pages in order, and keeps them apart by
+    keys and page; None or an empty table yields nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> Iterator[pa.Table]:
+            held, n = [], 0
+            for batch in batches:
+                opens = np.flatnonzero(batch.column("_place").to_numpy() % rows_per_page == 0)
+                if n + batch.num_rows >= RUN_ROWS and len(opens):
+                    last = int(opens[-1])  # the last page may go on in the next batch
+                    if n + last:
+                        yield pa.Table.from_batches([*held, batch.slice(0, last)])
+                    held, n, batch = [], 0, batch.slice(last)
+                held.append(batch)
+                n += batch.num_rows
+            if n:
+                yield pa.Table.from_batches(held)
+
+        for pages in whole():
+            out = page_map(pages.drop_columns(["_place"]))
+            if out is not None:
+                yield from out.to_batches()
 
-def map_numbered(df: DataFrame, keys: list[str], order: list[str], rows_per_page: int, page_map: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """page_map over pages cut inside each key: a page is one group of at most rows_per_page rows, with its number as page."""
-    return numbered_pages(df, keys, order, rows_per_page).groupBy(*keys, "page").applyInPandas(page_map, schema)
+    return _placed(df, keys, order, rows_per_page).sortWithinPartitions(*keys, "_place").mapInArrow(run, schema)
 
 
 def fold(df: DataFrame, step: Callable, accumulator=None, rows_per_page: int = 10_000) -> Iterator:
